@@ -37,7 +37,7 @@ ALPHA, BLOCK, SEED = 0.5, 4096, 11
 _UNITS = "s string, d long, u long, c long, n long, pi double, p double"
 
 
-def flight(p: np.ndarray, pi: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def flight(p: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Probabilities after the flight: at most two differ from 0 and 1, and sum(p) and sum(p * n) are kept.
 
     Units stand for pi-weighted constraints: with equal pi in a source, balancing
@@ -92,14 +92,21 @@ def land(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["u", "d", "n", "c"], kind="stable").reset_index(drop=True)
+def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+    # Longest first: what is left for the landing is short, so its totals miss little.
+    pdf = pdf.sort_values(["n", "u", "d", "c"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     rng = np.random.Generator(np.random.PCG64([SEED, int(pdf["u"].iloc[0]) & 0x7FFFFFFF, len(pdf)]))
-    p = flight(pdf["p"].to_numpy(), pdf["pi"].to_numpy(), pdf["n"].to_numpy(), rng)
-    pdf["p"] = land(p, pdf["n"].to_numpy()) if last else p
+    pdf["p"] = flight(pdf["p"].to_numpy(), pdf["n"].to_numpy(), rng)
     return pdf[["s", "d", "u", "c", "n", "pi", "p"]]
 
 
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last level: one block per source, flown and landed."""
+    pdf = _fly(pdf)
+    pdf["p"] = land(pdf["p"].to_numpy(), pdf["n"].to_numpy())
+    return pdf
+
+
 def targets(sources: dict, weights: dict | None, alpha: float) -> dict:
     """Inclusion probability by source, from {source: (documents, tokens)}: the largest that the weights allow."""
     given = {s: float(t) ** alpha for s, (_, t) in sources.items() if t} if weights is None else {s: float(w) for s, w in weights.items() if w and w > 0 and sources.get(s, (0, 0))[1]}
@@ -130,7 +137,7 @@ def draw(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA
     done, most = [], max(blocks.values())
     while True:
         last = most == 1
-        flown = open_.groupBy("s", "g").applyInPandas(lambda pdf, last=last: _fly(pdf, last), _UNITS)
+        flown = open_.groupBy("s", "g").applyInPandas(_settle if last else _fly, _UNITS)
         flown = table(flown.filter("p > 0"), "mixing-flown")
         done.append(flown.filter("p = 1"))
         if last:
