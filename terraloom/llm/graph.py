@@ -1,0 +1,28 @@
+"""Connected components by min-label propagation with pointer jumping, one written table a round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terraloom.llm.common import table
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, c) for every vertex of the edges (a, b): c is the least vertex of its component.
+
+    Each round takes the least label among neighbours, then the label of that
+    label, so the number of rounds grows with the logarithm of the diameter.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
+    both = table(both, "edges")
+    labels = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "labels")
+    while True:
+        near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        step = labels.join(near, "v").select("v", "c", F.least("c", "m").alias("n"))
+        hop = labels.toDF("n", "h")
+        then = table(step.join(hop, "n").select("v", F.least("n", "h").alias("n"), "c"), "labels")
+        changed = then.filter("n <> c").limit(1).count()
+        labels = then.select("v", F.col("n").alias("c"))
+        if not changed:
+            return labels

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from terraloom.llm.isolation import op10_quality_isolation
 from terraloom.llm.mixing import op4_mixing
+from terraloom.llm.near import op8_order_minhash
 from terraloom.llm.packing import op3_packing
 from terraloom.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_mixing, op10_quality_isolation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_mixing, op8_order_minhash, op10_quality_isolation)}
 
 ORACLES: dict[str, str] = {}
