@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import read, shards, table
+from terraloom.llm.common import read, shards, small, table
 
 WINDOW = 2048
 
@@ -125,7 +125,7 @@ def pack(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     full = ranked.filter(f"n >= {window}").select("d", F.col("w0") + F.coalesce("w", F.lit(0)), F.explode(F.sequence(F.lit(0), F.expr(f"int(n div {window}) - 1"))).alias("piece"))
     full = full.toDF("doc_id", "w", "piece").select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * window).alias("start"), F.lit(window).alias("length"), (F.col("w") + F.col("piece")).alias("window_id"), F.lit(0).alias("offset"))
     lists = spark.createDataFrame([(n, [(a, m, w, p, o) for _, a, m, w, p, o in own]) for n, own in _by_length(runs).items()], "r int, runs array<struct<a: long, m: long, w: long, p: long, o: long>>")
-    items = ranked.filter("r > 0").join(offsets, ["r", "b"]).withColumn("k", F.col("k") + F.col("o")).join(F.broadcast(lists), "r")  # the plan is bounded by the window size
+    items = ranked.filter("r > 0").join(offsets, ["r", "b"]).withColumn("k", F.col("k") + F.col("o")).join(small(lists, len(runs), 64), "r")
     items = items.withColumn("u", F.expr("filter(runs, x -> k >= x.a and k < x.a + x.m)[0]")).withColumn("k", F.expr("k - u.a"))
     items = items.select(F.col("d").alias("doc_id"), F.expr(f"int(n div {window})").alias("piece"), (F.col("n") - F.col("r")).alias("start"), F.col("r").alias("length"), F.expr("u.w + k div u.p").alias("window_id"), F.expr("int(u.o + (k % u.p) * r)").alias("offset"))
     return full.unionByName(items)
