@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from terraloom.llm.html import op6_host_suffix
 from terraloom.llm.isolation import op10_quality_isolation
+from terraloom.llm.katz import op2_katz
 from terraloom.llm.mixing import op4_mixing
 from terraloom.llm.near import op8_order_minhash
 from terraloom.llm.packing import op3_packing
 from terraloom.llm.suffix import op5_suffix_dedup
 from terraloom.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op8_order_minhash, op10_quality_isolation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_katz, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op8_order_minhash, op10_quality_isolation)}
 
 ORACLES: dict[str, str] = {}
