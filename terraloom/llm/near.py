@@ -4,7 +4,9 @@ A document is its sequence of white-space words, ASCII letters in lower case.
 Its k-mers (``K`` words) carry their occurrence number, so repeats count. Each
 of ``SKETCHES`` hash functions picks the ``PICKED`` least k-mers, which are kept
 in text order: two documents agree in a sketch if they hold the same k-mers in
-the same order, which follows edit similarity. Texts of up to ``SHORT`` words,
+the same order, which follows edit similarity. The k-mers of a sketch are taken
+at least ``GAP`` words apart (a third of the text, if less), so a passage that
+many documents share doesn't bring them together by itself. Texts of up to ``SHORT`` words,
 where one edit touches most k-mers, get as many sketches again of ``SHORT_PICKED``
 single words.
 
@@ -36,7 +38,7 @@ from terraloom.llm.common import read, small, table
 from terraloom.llm.graph import components
 from terraloom.llm.tokens import chunks, mix, row_of, window_hashes, word_bounds, word_hashes
 
-K, PICKED, SKETCHES, SHORT, SHORT_PICKED, SIMILAR = 3, 2, 32, 24, 3, 0.7
+K, PICKED, SKETCHES, SHORT, SHORT_PICKED, SIMILAR, GAP = 3, 2, 32, 24, 3, 0.7, 120
 _U, _MAX = np.uint64, np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 62, (SKETCHES, 2), dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _SKETCH = T.StructType([T.StructField("v", T.LongType()), T.StructField("w", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("s", T.ArrayType(T.LongType()))])
@@ -60,22 +62,27 @@ def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(h + number * _U(0x9E3779B97F4A7C15))
 
 
-def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray, seed: int = 0) -> None:
+def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray, seed: int = 0, gap: int = 0) -> None:
     """Sketches of the k-mers h (occurrences labelled) of consecutive rows, written to out (a row each)."""
     if not len(h):
         return
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(first, len(h)))
+    place, near = np.arange(len(h)), np.repeat(np.minimum(gap, (size + K - 1) // 3), size)
     for j in range(SKETCHES):
         x = (h ^ _SEEDS[j, 0]) * _SEEDS[j, 1]
         x ^= x >> _U(31)
         places = []
-        for _ in range(picked):
+        for k in range(picked):
             least = np.minimum.reduceat(x, first)
             at = np.flatnonzero(x == np.repeat(least, size))
             at = at[np.searchsorted(at, first)]  # the first, should two be equal
-            x[at] = _MAX
             places.append(at)
+            if k == picked - 1:
+                break
+            if gap:
+                x[np.abs(place - np.repeat(at, size)) < near] = _MAX
+            x[at] = _MAX
         value = np.full(len(first), _U(j + seed))
         for at in np.sort(np.stack(places), axis=0):
             value = mix(value * _U(0x9E3779B97F4A7C15) + h[at])
@@ -104,7 +111,7 @@ def sketch(text: pa.Array) -> pa.Array:
         ok = row[: len(kmers)] == row[K - 1 :] if len(kmers) else np.zeros(0, bool)
         sk = np.zeros((n, 2 * SKETCHES), np.int64)
         r = row[: len(kmers)][ok]
-        order_minhash(labelled(kmers[ok], r), r, PICKED, sk[:, :SKETCHES])
+        order_minhash(labelled(kmers[ok], r), r, PICKED, sk[:, :SKETCHES], gap=GAP)
         short = count[row] <= SHORT
         order_minhash(labelled(h[short], row[short]), row[short], SHORT_PICKED, sk[:, SKETCHES:], SKETCHES)
         use = np.zeros((n, 2), bool)
@@ -150,7 +157,8 @@ def groups(documents: DataFrame) -> DataFrame:
     met = buckets.select(F.col("vs")[0].alias("a"), F.explode(F.expr("slice(vs, 2, size(vs) - 1)")).alias("b"), "votes").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     first = table(met.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b"), "near-pairs")
     members = table(buckets.select(F.explode("vs").alias("v")).distinct(), "near-members")
-    wanted = nodes.join(members, "v", "left_semi").select("v", "d")
+    sizes = nodes.join(members, "v", "left_semi").select("v", "d", "n")
+    wanted = sizes.select("v", "d")
     wanted = small(wanted, members.count(), 16)
     own = F.arrow_udf(sketch_id, "long").asNondeterministic()("text")
     codes = documents.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d").select("v", own.alias("o"), F.arrow_udf(word_codes, "binary").asNondeterministic()("text").alias("c")).filter("v = o")
@@ -160,9 +168,10 @@ def groups(documents: DataFrame) -> DataFrame:
     # Then all pairs of a bucket that are in different components still.
     labelled_ = buckets.select(F.monotonically_increasing_id().alias("i"), "vs")
     labelled_ = table(labelled_, "near-buckets")
-    marked = labelled_.select("i", F.explode("vs").alias("v")).join(labels, "v", "left").select("i", "v", F.coalesce("c", "v").alias("c"))
-    mixed = marked.groupBy("i").agg(F.collect_list(F.struct("c", "v")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("m")
-    pairs = mixed.select("m", F.explode("m").alias("x")).select("x", F.explode(F.expr("filter(m, y -> y.v > x.v AND y.c <> x.c)")).alias("y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+    marked = labelled_.select("i", F.explode("vs").alias("v")).join(sizes.select("v", "n"), "v").join(labels, "v", "left").select("i", "v", "n", F.coalesce("c", "v").alias("c"))
+    mixed = marked.groupBy("i").agg(F.collect_list(F.struct("c", "v", "n")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("m")
+    # Texts whose lengths differ too much can't be similar.
+    pairs = mixed.select("m", F.explode("m").alias("x")).select("x", F.explode(F.expr(f"filter(m, y -> y.v > x.v AND y.c <> x.c AND least(x.n, y.n) >= {SIMILAR} * greatest(x.n, y.n) - 1e-6)")).alias("y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
     pairs = table(pairs.join(first, ["a", "b"], "left_anti"), "near-pairs")
     edges = edges.unionByName(_verified(pairs, codes))
     labels = table(components(edges).join(nodes.select("v", "w", "n"), "v", "right").select("v", "w", "n", F.coalesce("c", "v").alias("c")), "near-labels")
