@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from terraloom.llm.ann import op9_graph_ann
 from terraloom.llm.html import op6_host_suffix
 from terraloom.llm.isolation import op10_quality_isolation
 from terraloom.llm.katz import op2_katz
@@ -11,6 +13,8 @@ from terraloom.llm.packing import op3_packing
 from terraloom.llm.suffix import op5_suffix_dedup
 from terraloom.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_katz, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op8_order_minhash, op10_quality_isolation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_katz, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op8_order_minhash, op9_graph_ann, op10_quality_isolation)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
+#: None of these results can be expressed in SQL; tests/llm holds them against brute-force versions.
 ORACLES: dict[str, str] = {}
