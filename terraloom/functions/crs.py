@@ -90,13 +90,19 @@ def unproject(x: np.ndarray, y: np.ndarray, meridian: np.ndarray) -> tuple[np.nd
     return np.degrees(np.arctan2(np.sinh(b), np.cos(a))) + meridian, np.degrees(phi)
 
 
-@F.pandas_udf("struct<x: double, y: double>")
-def to_plane(lon: pd.Series, lat: pd.Series, meridian: pd.Series) -> pd.DataFrame:
+def _plane(lon: pd.Series, lat: pd.Series, meridian: pd.Series) -> pd.DataFrame:
     x, y = project(lon.to_numpy(float), lat.to_numpy(float), meridian.to_numpy(float))
     return pd.DataFrame({"x": x, "y": y})
 
 
-@F.pandas_udf("struct<lon: double, lat: double>")
-def to_lonlat(x: pd.Series, y: pd.Series, meridian: pd.Series) -> pd.DataFrame:
+def _lonlat(x: pd.Series, y: pd.Series, meridian: pd.Series) -> pd.DataFrame:
     lon, lat = unproject(x.to_numpy(float), y.to_numpy(float), meridian.to_numpy(float))
     return pd.DataFrame({"lon": lon, "lat": lat})
+
+
+def to_plane(lon, lat, meridian) -> Column:
+    return F.pandas_udf(_plane, "struct<x: double, y: double>")(lon, lat, meridian)
+
+
+def to_lonlat(x, y, meridian) -> Column:
+    return F.pandas_udf(_lonlat, "struct<lon: double, lat: double>")(x, y, meridian)

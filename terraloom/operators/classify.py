@@ -37,9 +37,12 @@ def sure_match(name: Column) -> Column:
     return F.when(exact.isNotNull(), make(exact, 1.0)).when(alike.isNotNull(), make(alike, 0.95)).when(same.isNotNull(), make(same, 0.9))
 
 
-@F.arrow_udf(_MATCH)
-def similar_match(names: pa.Array) -> pa.Array:
+def similar_match(name: str) -> Column:
     """The phrase with the highest Ratcliff-Obershelp ratio, the first of equals. Call it on distinct names."""
+    return F.arrow_udf(_most_similar, _MATCH)(name)
+
+
+def _most_similar(names: pa.Array) -> pa.Array:
     table, out = phrase_rows("normal"), []
     for name in names.to_pylist():
         best = ("", "", 0.0)

@@ -201,6 +201,6 @@ def _(c):
     box = _boxes(c).filter("lo > 76 AND hi < 134 AND hi > lo").select("fid", "lo", "hi", F.lit(23.0).alias("la"), F.lit(24.5).alias("lb"), crs.nearest_3((F.col("lo") + F.col("hi")) / 2).cast("double").alias("cm"))
     t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i / 20.0))
     on = box.withColumn("t", t).withColumn("x", F.col("lo") + F.col("t") * (F.col("hi") - F.col("lo"))).withColumn("y", F.col("la") + F.col("t") * (F.col("lb") - F.col("la")))
-    edge = on.select("fid", "cm", F.explode(F.array(F.struct(F.col("x").alias("lon"), F.col("la").alias("lat")), F.struct("x", "lb"), F.struct("lo", "y"), F.struct("hi", "y"))).alias("e"))
+    edge = on.select("fid", "cm", F.explode(F.array(*[F.struct(F.col(a).cast("double").alias("lon"), F.nullif(F.col(b), F.lit(-99.0)).alias("lat")) for a, b in (("x", "la"), ("x", "lb"), ("lo", "y"), ("hi", "y"))])).alias("e"))
     at = edge.withColumn("p", crs.to_plane("e.lon", "e.lat", "cm"))
     return at.groupBy("fid").agg(F.min("p.x").alias("xmin"), F.min("p.y").alias("ymin"), F.max("p.x").alias("xmax"), F.max("p.y").alias("ymax"))
