@@ -47,6 +47,8 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     if not names:
         return sql
     heads = ", ".join(f"{view_name(v)} AS ({VIEWS[v]})" for v in names)
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {sql[15:]}"
     return f"WITH {heads}{', ' + sql[5:] if sql[:5].upper() == 'WITH ' else ' ' + sql}"
 
 
