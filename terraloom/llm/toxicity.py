@@ -99,7 +99,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
     ids = F.broadcast(spark.createDataFrame([(r.i, r.y) for r in picked], "i long, y int"))  # max_rows bounds it
     words = F.arrow_udf(_distinct_words, "array<long>")
     sample = documents.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(ids, "i").select("i", "y", words("t").alias("w"))
-    got = sample.dropDuplicates(["w"]).orderBy(F.xxhash64("i"), "i").toArrow()
+    # Equal texts count once; which of them stands for all doesn't depend on the order of rows.
+    got = sample.groupBy("w").agg(F.min("i").alias("i"), F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").toArrow()
     y = got["y"].to_numpy().astype(float)
     lists = got["w"].combine_chunks()
     if not len(lists) or len(set(y)) < 2:
