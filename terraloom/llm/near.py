@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from terraloom.llm.align import similar
 from terraloom.llm.common import read, small, table
-from terraloom.llm.graph import components
+from terraloom.operators.graph import components
 from terraloom.llm.tokens import chunks, mix, row_of, window_hashes, word_bounds, word_hashes
 
 K, PICKED, SKETCHES, SHORT, SHORT_PICKED, SIMILAR, GAP = 3, 2, 32, 24, 3, 0.7, 120

@@ -2,7 +2,7 @@
 
 Arrow string buffers are read in place as bytes; word boundaries, word
 fingerprints and fingerprints of word windows are computed with numpy over
-chunks of about one megabyte, so no Python object is made per word and the
+chunks of about half a megabyte, so no Python object is made per word and the
 memory of a worker doesn't depend on the size of its partition.
 
 A word is a maximal run of bytes other than ASCII white space. Fingerprints
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -122,7 +122,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     """A 64-bit fingerprint for each word."""
     if not len(starts):
         return np.zeros(0, U)
-    up, down = _BYTES.get(1 << max(20, int(len(raw)).bit_length()))
+    up, down = _BYTES.get(1 << max(19, int(len(raw)).bit_length()))
     c = np.zeros(len(raw) + 1, U)
     np.cumsum((_LOWER if lower else _CODE)[raw] * up[: len(raw)], out=c[1:])
     return mix((c[ends] - c[starts]) * down[starts])
@@ -133,7 +133,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    up, down = _WORDS.get(1 << max(18, int(len(words)).bit_length()))
+    up, down = _WORDS.get(1 << max(17, int(len(words)).bit_length()))
     c = np.zeros(len(words) + 1, U)
     np.cumsum(words * up[: len(words)], out=c[1:])
     return mix((c[k:] - c[:n]) * down[:n] + U(k))
