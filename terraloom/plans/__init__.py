@@ -1,0 +1 @@
+"""Queries by name, with their oracles."""
