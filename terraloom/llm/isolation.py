@@ -107,13 +107,17 @@ class Forest:
         self.depth, self.size = depth, size
         self.feature, self.cut, self.left = np.zeros((trees, n), np.int8), np.zeros((trees, n)), np.tile(np.arange(n), (trees, 1))
         self.path = np.zeros((trees, n))
+        # A statistic that never varies among the rows is cut just beside its value, so that others stand out.
+        margin = np.where(x.max(axis=0) > x.min(axis=0), 0.0, 0.02)
         for t in range(trees):
             todo = [(0, rng.permutation(len(x))[:size], 0)]
             while todo:
                 node, rows, level = todo.pop()
-                low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-                wide = np.flatnonzero(high > low)
-                if level == depth or len(rows) < 2 or not len(wide):
+                wide = np.zeros(0, np.int64)
+                if level < depth and len(rows) >= 2:
+                    low, high = x[rows].min(axis=0) - margin, x[rows].max(axis=0) + margin
+                    wide = np.flatnonzero(high > low)
+                if not len(wide):
                     self.path[t, node] = level + typical_path(len(rows))
                     continue
                 f = int(rng.choice(wide))

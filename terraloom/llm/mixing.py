@@ -158,15 +158,16 @@ def mix(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA)
 
 def select_rows(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA) -> DataFrame:
     """The rows drawn, with all their columns."""
-    drawn = table(draw(documents, weights, alpha).groupBy("u", "d").agg(F.count("*").alias("k"), F.max("c").alias("c")), "mixing-drawn")
+    drawn = draw(documents, weights, alpha).groupBy(F.col("u").alias("__mix_u"), F.col("d").alias("__mix_d")).agg(F.count("*").alias("__mix_k"), F.max("c").alias("__mix_c"))
+    drawn = table(drawn, "mixing-drawn")
     # Of equal rows only as many stay as were drawn; that takes a count within equal rows, where there are any at all.
-    repeated = bool(drawn.filter("k > 1 OR c > 0").limit(1).count())
+    repeated = bool(drawn.filter("__mix_k > 1 OR __mix_c > 0").limit(1).count())
     names = documents.columns
-    own = documents.withColumn("__mix_u", F.xxhash64(F.lit(SEED), "doc_id", "text", "source"))
-    joined = own.alias("a").join(small(drawn, drawn.count(), 32).alias("b"), F.expr("a.__mix_u = b.u AND a.doc_id <=> b.d"))
+    own = documents.withColumn("__mix_v", F.xxhash64(F.lit(SEED), "doc_id", "text", "source"))
+    joined = own.join(small(drawn, drawn.count(), 40), F.expr("__mix_v = __mix_u AND doc_id <=> __mix_d"))
     if repeated:
-        joined = joined.withColumn("__mix_r", F.row_number().over(W.partitionBy("__mix_u", "doc_id").orderBy("__mix_u"))).filter("__mix_r <= k")
-    return joined.select(*[F.col(f"a.`{c}`") for c in names])
+        joined = joined.withColumn("__mix_r", F.row_number().over(W.partitionBy("__mix_v", "doc_id").orderBy("__mix_v"))).filter("__mix_r <= __mix_k")
+    return joined.select(*[F.col(f"`{c}`") for c in names])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
