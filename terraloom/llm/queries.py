@@ -18,7 +18,7 @@ QUERIES["pipeline"] = corpus_pipeline.run
 
 #: The other results can't be expressed in SQL (trained, random, sequential or approximate); tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
-    "op5_suffix_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    "op5_suffix_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50), k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM g), f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM k),
 x AS (SELECT * FROM f WHERE first < doc_id), y AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM x), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM y)
 SELECT doc_id, CAST(min(i) AS INT) AS start, CAST(max(i) + 50 - min(i) AS INT) AS length, arg_min(first, i) AS first_doc_id FROM z GROUP BY doc_id, island""",
