@@ -60,8 +60,8 @@ def numeric_parts() -> dict[str, Column]:
 
 
 def geometry_family() -> Column:
-    areal = _c("level2").isin("机场", "变电站", "换流站", "接地极")
-    spots = _c("level2").isin("军事敏感点", "无线电设施", "导航台", "炸药库", "油气存储站", "地震地磁台", "气象站", "采石场", "矿产资源")
+    areal = _c("level2").isin(*"机场 换流站 接地极 变电站".split())
+    spots = _c("level2").isin(*"矿产资源 采石场 军事敏感点 无线电设施 导航台 炸药库 油气存储站 地震地磁台 气象站".split())
     return (
         F.when(_c("level1").isin("交通敏感点", "电力设施敏感点", "管廊敏感点"), F.when(areal, "polygon").otherwise("line"))
         .when(_c("level1") == "河流", "line")

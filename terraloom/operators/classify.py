@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from terraloom.operators.ingest import look_up, phrase_array, phrase_rows
 from terraloom.rules import rows
 
-LEVEL1_FIELDS = ["一级分类", "LV1_CLASS", "level1", "一级类别", "LEVEL1"]
-LEVEL2_FIELDS = ["二级分类", "LV2_CLASS", "level2", "二级类别", "LEVEL2", "name", "NAME", "类型", "type", "category", "TYPE"]
+LEVEL1_FIELDS = "一级分类 LV1_CLASS level1 一级类别 LEVEL1".split()
+LEVEL2_FIELDS = "二级分类 LV2_CLASS level2 二级类别 LEVEL2 name NAME 类型 type category TYPE".split()
 AUTO, REVIEW = 0.85, 0.6
 _MATCH = "struct<level1: string, level2: string, score: double>"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraloom.rules import rows
 
-SUFFIX = r"^(.+?)(_保护范围|_奖励范围|_缓冲范围|_河道范围)?$"
+SUFFIX = r"^(.+?)(_(?:保护|奖励|缓冲|河道)范围)?$"
 
 
 @cache

@@ -9,7 +9,7 @@ from terraloom.plans.registry import query
 
 RL = ("rules", "lookups")
 LY = ("layer",)
-_RE = "'^(.+?)(_保护范围|_奖励范围|_缓冲范围|_河道范围)?$'"
+_RE = "'^(.+?)(_(?:保护|奖励|缓冲|河道)范围)?$'"
 _KW = "kw AS (SELECT position, phrase, coalesce(r.level1, means) AS l1, coalesce(r.level2, '') AS l2 FROM lookups LEFT JOIN rules r ON CAST(r.rule_id AS VARCHAR) = means WHERE kind = 'folder')"
 _PATH = f"""{_KW}, pt AS (SELECT DISTINCT folder FROM v_layer), pp AS (SELECT folder, unnest(str_split(folder, '/')) AS part, generate_subscripts(str_split(folder, '/'), 1) AS depth FROM pt),
 hit AS (SELECT folder, depth, l1, l2, row_number() OVER (PARTITION BY folder, depth ORDER BY part <> phrase, position) AS rk FROM pp JOIN kw ON contains(part, phrase) WHERE NOT regexp_matches(part, '(\\.gdb|\\.shp)$|^\\d+$')),

@@ -13,7 +13,7 @@ R = ("rules",)
 _BASE = "CASE WHEN cost_type = 'forbidden' THEN 999999.0 WHEN cost_type IN ('angle_formula', 'length_formula') AND base IS NOT NULL THEN base WHEN cross_num IS NOT NULL THEN cross_num WHEN cross_text LIKE '%禁止%' THEN 999999.0 ELSE 0.0 END"
 _LAND = "CASE WHEN land_num IS NOT NULL THEN land_num WHEN land_text LIKE '%禁止%' THEN 999999.0 ELSE 0.0 END"
 _RANGE = "CASE WHEN range_m > 0 THEN range_m WHEN reward > 0 THEN 200 ELSE 0 END"
-_FAMILY = """CASE WHEN level1 IN ('交通敏感点', '电力设施敏感点', '管廊敏感点') THEN (CASE WHEN level2 IN ('机场', '变电站', '换流站', '接地极') THEN 'polygon' ELSE 'line' END)
+_FAMILY = """CASE WHEN level1 IN ('交通敏感点', '电力设施敏感点', '管廊敏感点') THEN (CASE WHEN rule_id IN (32, 54, 55, 56) THEN 'polygon' ELSE 'line' END)
  WHEN level1 = '河流' THEN 'line' WHEN level1 = '地形' THEN 'raster' WHEN buffer_m > 0 AND rule_id BETWEEN 23 AND 31 THEN 'point' ELSE 'polygon' END"""
 _BEHAVIOR = """CASE WHEN NOT enter AND NOT may_cross THEN 'FORBIDDEN_AREA' WHEN min_angle > 0 THEN 'LINEAR_CROSS_CONTROL' WHEN NOT land THEN 'NO_TOWER_AREA' WHEN reward > 0 THEN 'PREFERRED_CORRIDOR'
  WHEN cost_type IN ('angle_formula', 'length_formula') OR land_num > 0 OR cross_num > 0 THEN 'HIGH_COST_AREA' ELSE 'NORMAL' END"""
