@@ -12,8 +12,9 @@ from terraloom.llm.near import op8_order_minhash
 from terraloom.llm.packing import op3_packing
 from terraloom.llm.suffix import op5_suffix_dedup
 from terraloom.llm.toxicity import op1_toxicity
+from terraloom.llm.wavelet import op7_wavelet
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_katz, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op8_order_minhash, op9_graph_ann, op10_quality_isolation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_katz, op3_packing, op4_mixing, op5_suffix_dedup, op6_host_suffix, op7_wavelet, op8_order_minhash, op9_graph_ann, op10_quality_isolation)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: The other results can't be expressed in SQL (trained, random, sequential or approximate); tests/llm holds them against brute force.
