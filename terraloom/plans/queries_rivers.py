@@ -64,3 +64,36 @@ def _(c):
     x = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("x1") + (i + 0.5) / 9.0 * F.col("dx1"))
     n = F.size(F.filter(x, lambda v: (v >= 5000) & (v < 15000)))
     return c.line.select("fid", F.round(F.hypot("dx1", "dy1") * n / 9, 4).alias("inside_m"))
+
+
+def _edges(c):
+    """The four sides of the rectangles, in order."""
+    from terraloom.functions.geometry import rectangle_ring
+
+    ring = rectangle_ring(*map(F.col, ("xmin", "ymin", "xmax", "ymax")))
+    e = c.poly.select("fid", F.explode(F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, 3), F.slice(ring, 1, 1)).alias("b"))).alias("e"))
+    return e.select("fid", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def main_axis(edges):
+    """(fid, angle): direction in degrees, -90 up to 90, of the largest spread of edge midpoints weighted by edge length."""
+    e = edges.withColumns({"w": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), "mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
+    m = e.groupBy("fid").agg((F.sum(F.col("w") * F.col("mx")) / F.sum("w")).alias("cx"), (F.sum(F.col("w") * F.col("my")) / F.sum("w")).alias("cy"))
+    u, v = F.col("mx") - F.col("cx"), F.col("my") - F.col("cy")
+    s = e.join(m, "fid").groupBy("fid").agg(F.sum(F.col("w") * u * u).alias("xx"), F.sum(F.col("w") * v * v).alias("yy"), F.sum(F.col("w") * u * v).alias("xy"))
+    return s.select("fid", F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("angle"))
+
+
+@query("pca_axis", "SELECT fid, CASE WHEN xmax - xmin > ymax - ymin THEN 0e0 ELSE 90e0 END AS angle FROM v_poly WHERE xmax - xmin <> ymax - ymin", P)
+def _(c):
+    return main_axis(_edges(c).join(c.poly.filter("xmax - xmin <> ymax - ymin").select("fid"), "fid")).select("fid", F.abs(F.round("angle", 4)).alias("angle"))
+
+
+@query("chords", "SELECT fid, xmin AS x_from, xmax AS x_to FROM v_poly", P)
+def _(c):
+    mid = c.poly.select("fid", ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    hit = _edges(c).join(mid, "fid").filter("(y1 > y) <> (y2 > y)")
+    at = hit.withColumn("x", F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    xs = at.groupBy("fid").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", 2 * k).alias("a"), F.get("xs", 2 * k + 1).alias("b")))
+    return xs.withColumn("p", F.explode(pairs)).select("fid", F.col("p.a").alias("x_from"), F.col("p.b").alias("x_to"))
