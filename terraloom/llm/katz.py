@@ -1,4 +1,4 @@
-"""Operator 2: language-model scores by Katz backoff.
+"""Katz backoff over a closed vocabulary; the query op2_katz uses ``katz_whole``, which counts every word.
 
 A bigram model over the ``VOCABULARY`` most frequent words of the corpus; other
 words are one unknown word, and each document is framed by a boundary. Counts
@@ -32,10 +32,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import read, shards, table
+from terraloom.llm.common import shards, table
 from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
 
 VOCABULARY, LEAST, LARGE, HOT = 65_000, 2, 5, 1 << 16
@@ -331,8 +331,3 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     counts = model.bigrams.selectExpr("shard", "CAST(NULL AS LONG) t", "CAST(NULL AS ARRAY<LONG>) ids", "keys a", "counts b")
     answers = asked.filter("shard >= 0").unionByName(counts).repartition(model.parts, "shard").mapInArrow(_answer(known), schema)
     return asked.filter("shard = -1").unionByName(answers).groupBy("t").applyInArrow(_collect, "doc_id long, n_tokens long, log_prob double, perplexity double")
-
-
-def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents")
-    return score(documents, train(documents))

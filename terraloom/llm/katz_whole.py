@@ -1,0 +1,330 @@
+"""Operator 2: language-model scores by Katz backoff over the whole vocabulary.
+
+Every word and every bigram of the corpus is counted, by 64-bit fingerprints;
+each document is framed by a boundary. Bigrams that occur ``LEAST`` times or
+more count as seen, discounted by Good-Turing; the mass that this frees goes to
+the unseen words of the history in proportion to their unigram probability:
+
+    P(w | h) = d(c) c(h w) / c(h)   if seen,   else alpha(h) P(w)
+
+with alpha(h) = (1 - seen mass of h) / (1 - unigram mass of the seen words), so
+that each history's probabilities sum to one. The unknown word stands only for
+words that the corpus doesn't hold; a count of one is reserved for it.
+
+Documents are scored by the model that they are counted in. A bigram seen once
+there is the document's own, so ``LEAST`` is 2: with 1 any junk would predict
+itself.
+
+Words, histories and bigrams are tables, joined by shuffles. A document's score
+is linear in two kinds of look-ups: log alpha(w) + log P(w) of every word, and
+for a seen bigram log P(w | h) - log alpha(h) - log P(w). Both are one table of
+keys and values in shards by key, gap-coded; what travels per token is its key
+and a document number. The ``HOT`` most frequent words and bigrams are broadcast
+to be looked up where they are read, which changes no result.
+
+Edge cases: null and empty texts have no words; their score is that of the
+boundary following itself. Repeated rows and ids are scored each on its own and
+count each; null ids are kept; an empty table gives no rows; other columns are
+ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terraloom.llm.common import read, shards, table
+from terraloom.llm.katz import HELD, HOT, LARGE, LEAST, _batch, _word_counts, discounts, planes, unplanes
+from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
+
+#: Histories whose bigrams are spread over all shards, by their count.
+SPREAD = 1024
+_U = np.uint64
+#: The fingerprint that stands for the boundary.
+BOUNDARY = _U(0x5BF03635A9D1E1C7)
+_TINY = 1e-300
+
+
+def planes64(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes64(blob) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def gaps64(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit numbers as gaps."""
+    return planes64(np.diff(values, prepend=_U(0)))
+
+
+def ungaps64(blob) -> np.ndarray:
+    return np.cumsum(unplanes64(blob), dtype=_U)
+
+
+def bigram_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(h * _U(0x9E3779B97F4A7C15) + mix(w + _U(1)))
+
+
+def shard_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Shards are ranges of keys, so keys in order are in order of shards."""
+    return ((key >> _U(32)) * _U(parts)) >> _U(32)
+
+
+def _cuts(shard: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    edge = np.searchsorted(shard, np.arange(parts + 1).astype(shard.dtype))
+    return [(int(s), int(edge[s]), int(edge[s + 1])) for s in np.flatnonzero(np.diff(edge))]
+
+
+def framed(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, document of each bigram, histories, words) by chunk of rows; the end of a text counts."""
+    for a, b, raw, off in chunks(text):
+        starts, ends, first = word_bounds(raw, off)
+        h = word_hashes(raw, starts, ends, lower=True)
+        n = np.diff(first)
+        seq = np.full(len(h) + b - a + 1, BOUNDARY)
+        seq[1 + np.arange(len(h)) + np.repeat(np.arange(b - a), n)] = h
+        yield a, np.repeat(np.arange(b - a), n + 1), seq[:-1], seq[1:]
+
+
+def _among(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether x is in sorted_, where)"""
+    if not len(sorted_):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return sorted_[i] == x, i
+
+
+def _count(spread, parts: int):
+    """Bigrams by shard of the history; those of the most frequent histories by shard of the bigram."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, at, c = np.unique(bigram_key(h, w), return_index=True, return_counts=True)
+        h, w = h[at], w[at]
+        shard = shard_of(np.where(_among(spread.value, h)[0], key, h), parts)
+        order = np.lexsort((w, h, shard))
+        h, w, c, shard = h[order], w[order], c[order], shard[order]
+        rows = []
+        for s, i, j in _cuts(shard, parts):
+            u, n = np.unique(h[i:j], return_counts=True)
+            rows.append((s, gaps64(u), planes(n), planes64(w[i:j]), planes(c[i:j])))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], names=["shard", "h", "n", "w", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, h, w in framed(batch["text"]):
+                held.append((h, w))
+                size += len(h)
+                if size >= HELD:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return count
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the seen bigrams; rows without a history tell how many bigrams (c) occur w = 1, 2, ..., LARGE + 1 times."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for s, h, n, w, c in zip(batch["shard"].to_pylist(), *(batch[x] for x in "hnwc"), strict=True):
+            held.setdefault(s, []).append((np.repeat(ungaps64(h.as_buffer()), unplanes(n.as_buffer())), unplanes64(w.as_buffer()), unplanes(c.as_buffer())))
+    for s in list(held):
+        h, w, c = (np.concatenate(x) for x in zip(*held.pop(s), strict=True))
+        _, at, inv = np.unique(bigram_key(h, w), return_index=True, return_inverse=True)
+        c = np.bincount(inv, c).astype(np.int64)
+        tally = np.bincount(np.minimum(c, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
+        yield _rows(None, np.arange(1, LARGE + 2), tally)
+        seen = np.flatnonzero(c >= LEAST)
+        for i in range(0, len(seen), 1 << 16):
+            part = seen[i : i + (1 << 16)]
+            yield _rows(h[at[part]].view(np.int64), w[at[part]].view(np.int64), c[part])
+
+
+def _rows(h: np.ndarray | None, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    first = pa.nulls(len(w), pa.int64()) if h is None else pa.array(h)
+    return pa.RecordBatch.from_arrays([first, pa.array(w.astype(np.int64)), pa.array(c.astype(np.int64))], names=["h", "w", "c"])
+
+
+@dataclass
+class Model:
+    """unknown: log probability of a word the corpus doesn't hold; boundary: log alpha and log P of the boundary;
+    words (w, c, p, norm, alpha) and bigrams (h, w, c, log_p, v) as tables; hot: keys and values that are broadcast."""
+
+    unknown: float
+    boundary: float
+    words: DataFrame
+    bigrams: DataFrame
+    parts: int
+    hot: tuple[np.ndarray, np.ndarray]
+
+
+def train(documents: DataFrame, hot: int = HOT) -> Model:
+    """Counts all of documents."""
+    spark = documents.sparkSession
+    texts, parts = documents.select("text"), shards(spark)
+    counts = table(texts.mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "katz-unigrams")
+    total, n_docs = counts.agg(F.sum("c")).first()[0] or 0, texts.count()
+    end = int(BOUNDARY.view(np.int64))
+    counts = counts.select(F.col("h").alias("w"), "c").unionByName(spark.createDataFrame([(end, n_docs)], "w long, c long"))
+    every = float(total + n_docs + 1)  # one for the unknown word
+    top = counts.orderBy(F.desc("c"), "w").limit(SPREAD).toArrow()["w"].to_numpy().view(_U)
+    spread = spark.sparkContext.broadcast(np.sort(top))
+    counted = texts.mapInArrow(_count(spread, parts), "shard int, h binary, n binary, w binary, c binary")
+    rows = table(counted.repartition(parts, "shard").mapInArrow(_add_up, "h long, w long, c long"), "katz-bigrams")
+    tally = np.zeros(LARGE + 1)
+    for r in rows.filter("h IS NULL").groupBy("w").agg(F.sum("c").alias("n")).collect():
+        tally[r.w - 1] = r.n
+    d = discounts(tally)
+    factor = F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least("c", F.lit(LARGE + 1)).cast("int") + 1)
+    probable = counts.select("w", (F.col("c") / F.lit(every)).alias("p"))
+    seen = table(rows.filter("h IS NOT NULL").withColumn("m", factor * F.col("c")).join(probable, "w"), "katz-seen")
+    sums = seen.groupBy(F.col("h").alias("w")).agg(F.sum("m").alias("seen"), F.sum("p").alias("mass"))
+    # A history that every word follows, the unknown one included, can't be: alpha is always defined.
+    words = counts.join(sums, "w", "left").select("w", "c", (F.col("c") / F.lit(every)).alias("p"), F.col("c").cast("double").alias("norm"), F.coalesce(F.greatest(1 - F.col("seen") / F.col("c"), F.lit(0.0)) / (1 - F.col("mass")), F.lit(1.0)).alias("alpha"))
+    words = table(words.withColumn("la", F.log(F.greatest("alpha", F.lit(_TINY)))), "katz-words")
+    unknown = float(-np.log(every))
+    own = words.select(F.col("w").alias("h"), "norm", "la")
+    bigrams = seen.join(own, "h").withColumn("log_p", F.log(F.col("m") / F.col("norm"))).select("h", "w", "c", "log_p", (F.col("log_p") - F.col("la") - F.log("p")).alias("v"))
+    bigrams = table(bigrams, "katz-deltas")
+    b = words.filter(F.col("w") == end).selectExpr("la + ln(p) AS v").first()
+    boundary = b.v if b and b.v is not None else 0.0
+    model = Model(unknown, boundary, words, bigrams, parts, (np.zeros(0, _U), np.zeros(0)))
+    # `hot` bounds what comes to the driver.
+    often = [x.orderBy(F.desc("c"), *o).limit(hot).toArrow() for x, o in ((_word_values(model).select("w", "c", "v"), ["w"]), (bigrams.select("h", "w", "c", "v"), ["h", "w"]))]
+    key = [often[0]["w"].to_numpy().view(_U), bigram_key(often[1]["h"].to_numpy().view(_U), often[1]["w"].to_numpy().view(_U))]
+    key, v = np.concatenate(key), np.concatenate([x["v"].to_numpy() for x in often])
+    order = np.argsort(key)
+    model.hot = (key[order], v[order])
+    return model
+
+
+def _word_values(model: Model) -> DataFrame:
+    """Log alpha and log P of the words, less those of the unknown word."""
+    return model.words.filter(F.col("w") != int(BOUNDARY.view(np.int64))).withColumn("v", F.col("la") + F.log("p") - F.lit(model.unknown))
+
+
+def _packed(parts: int):
+    """Rows (h, w, v), h null for words, as sorted keys and values by shard."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        key, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, v = key[order], v[order]
+        return _batch([[s, None, None, gaps64(key[i:j]), v[i:j].tobytes()] for s, i, j in _cuts(shard_of(key, parts), parts)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            w = batch["w"].to_numpy().view(_U)
+            h = batch["h"].fill_null(0).to_numpy().view(_U)
+            word = np.asarray(batch["h"].is_null())
+            held.append((np.where(word, w, bigram_key(h, w)), batch["v"].to_numpy()))
+            size += len(w)
+            if size >= HELD:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return pack
+
+
+def _request(model, parts: int):
+    """Per task: documents with their own sums (shard under 0), and what is left to look up, by shard."""
+
+    def flush(t: int, ids: list, n: list, held: list) -> pa.RecordBatch:
+        doc, h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        unknown, boundary, hot, value = model.value
+        words = w != BOUNDARY
+        n = np.asarray(n, np.int64)
+        own = n * unknown + boundary
+        doc, key = np.concatenate([doc, doc[words]]), np.concatenate([bigram_key(h, w), w[words]])
+        hit, i = _among(hot, key)
+        own += np.bincount(doc[hit], value[i[hit]] if len(hot) else None, len(ids))
+        doc, key = doc[~hit], key[~hit]
+        order = np.argsort(key, kind="stable")
+        doc, key = doc[order], key[order]
+        head = [-1 - (t + (t >> 32)) % parts, t, pa.array(ids, pa.int64()), n.tobytes(), own.tobytes()]
+        return _batch([head] + [[s, t, None, gaps64(key[i:j]), planes(doc[i:j])] for s, i, j in _cuts(shard_of(key, parts), parts)])
+
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = TaskContext.get().partitionId() << 32
+        ids, n, held, size = [], [], [], 0
+        for batch in batches:
+            own = batch["doc_id"].to_pylist()
+            for a, doc, h, w in framed(batch["text"]):
+                count = np.bincount(doc)
+                held.append((doc + len(ids), h, w))
+                ids += own[a : a + len(count)]
+                n += (count - 1).tolist()
+                size += len(h)
+                if size >= HELD // 2:
+                    yield flush(t, ids, n, held)
+                    t, ids, n, held, size = t + 1, [], [], [], 0
+        if held:
+            yield flush(t, ids, n, held)
+
+    return request
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shard: looks the keys up and gives each task's sums by document; documents pass."""
+    known: dict[int, list] = {}
+    asked: list[tuple] = []
+    for batch in batches:
+        for s, t, ids, a, b in zip(batch["shard"].to_pylist(), batch["t"].to_pylist(), batch["ids"], batch["a"], batch["b"], strict=True):
+            if s < 0:
+                yield _batch([[s, t, pa.array(ids.values), a.as_py(), b.as_py()]])
+            elif t is None:
+                known.setdefault(s, []).append((ungaps64(a.as_buffer()), np.frombuffer(b.as_buffer())))
+            else:
+                asked.append((s, t, a.as_py(), b.as_py()))
+    tables = {}
+    for s in list(known):
+        key, v = (np.concatenate(x) for x in zip(*known.pop(s), strict=True))
+        order = np.argsort(key)
+        tables[s] = key[order], v[order]
+    for s, t, a, b in asked:
+        if s not in tables:
+            continue
+        key, doc = ungaps64(a), unplanes(b)
+        hit, i = _among(tables[s][0], key)
+        docs, inv = np.unique(doc[hit], return_inverse=True)
+        yield _batch([[s, t, None, docs.astype("<u4").tobytes(), np.bincount(inv, tables[s][1][i[hit]]).tobytes()]])
+
+
+def _collect(rows: pa.Table) -> pa.Table:
+    """All answers to one task."""
+    shard = rows["shard"].to_numpy()
+    order = np.argsort(shard, kind="stable").tolist()  # documents first; sums in one order give one result
+    at = order[0]
+    total, n = np.frombuffer(rows["b"][at].as_py()).copy(), np.frombuffer(rows["a"][at].as_py(), np.int64)
+    for i in order[1:]:
+        total[np.frombuffer(rows["a"][i].as_py(), "<u4")] += np.frombuffer(rows["b"][i].as_py())
+    return pa.table([pa.array(rows["ids"][at].as_py(), pa.int64()), pa.array(n), pa.array(total), pa.array(np.exp(np.minimum(-total / (n + 1), 700)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, log_prob (natural, with the end of the text) and perplexity for every row of documents."""
+    known = documents.sparkSession.sparkContext.broadcast((model.unknown, model.boundary, *model.hot))
+    schema = "shard int, t long, ids array<long>, a binary, b binary"
+    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_request(known, model.parts), schema)
+    values = _word_values(model).select(F.lit(None).cast("long").alias("h"), "w", "v").unionByName(model.bigrams.select("h", "w", "v"))
+    values = values.mapInArrow(_packed(model.parts), schema)
+    answers = asked.unionByName(values).repartition(model.parts, "shard").mapInArrow(_answer, schema)
+    return answers.groupBy("t").applyInArrow(_collect, "doc_id long, n_tokens long, log_prob double, perplexity double")
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return score(documents, train(documents))

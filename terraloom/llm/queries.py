@@ -6,7 +6,7 @@ import corpus_pipeline
 from terraloom.llm.ann import op9_graph_ann
 from terraloom.llm.html import op6_host_suffix
 from terraloom.llm.isolation import op10_quality_isolation
-from terraloom.llm.katz import op2_katz
+from terraloom.llm.katz_whole import op2_katz
 from terraloom.llm.mixing import op4_mixing
 from terraloom.llm.near import op8_order_minhash
 from terraloom.llm.packing import op3_packing

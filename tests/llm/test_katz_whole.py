@@ -1,0 +1,75 @@
+"""The whole-vocabulary Katz model against a plain recursion, and rare words beyond any fixed vocabulary."""
+
+import math
+from collections import Counter
+
+import numpy as np
+from test_llm import CLASH, ODD, docs, words
+
+
+def plain(texts):
+    """log P of each text by dictionaries of words."""
+    from terraloom.llm.katz import LARGE, LEAST, discounts
+
+    uni, bi = Counter(), Counter()
+    for t in texts:
+        w = ["<>", *t.lower().split(), "<>"]
+        uni.update(w[1:])
+        bi.update(zip(w[:-1], w[1:], strict=True))
+    tally = np.zeros(LARGE + 1)
+    for c in bi.values():
+        if c <= LARGE + 1:
+            tally[c - 1] += 1
+    d, every = discounts(tally), sum(uni.values()) + 1
+    seen, mass = Counter(), Counter()
+    for (h, w), c in bi.items():
+        if c >= LEAST:
+            seen[h] += d[min(c, LARGE + 1)] * c
+            mass[h] += uni[w] / every
+
+    def p(h, w):
+        c = bi[h, w]
+        if c >= LEAST:
+            return d[min(c, LARGE + 1)] * c / uni[h]
+        alpha = (1 - seen[h] / uni[h]) / (1 - mass[h]) if h in seen else 1.0
+        return alpha * max(uni[w], 1) / every
+
+    for h in ["<>", "w1", "w2", "w3"]:
+        if uni[h]:
+            assert abs(sum(p(h, w) for w in uni) + p(h, "never seen") - 1) < 1e-9
+
+    def log_p(t):
+        w = ["<>", *t.lower().split(), "<>"]
+        return sum(math.log(p(*x)) for x in zip(w[:-1], w[1:], strict=True))
+
+    return log_p
+
+
+def test_katz_whole_matches_plain_recursion(spark):
+    from terraloom.llm.katz_whole import score, train
+
+    rows = [(i, " ".join(words(40, i % 17, 30)), "s") for i in range(60)] + [(100 + i, " ".join(words(50, i + 40, 5000)), "s") for i in range(20)] + ODD
+    log_p = plain([t or "" for _, t, _ in rows])
+    d = docs(spark, rows, CLASH)
+    for hot in (0, 7, 1 << 16):
+        model = train(d, hot=hot)
+        got = Counter((r.doc_id, r.n_tokens, round(r.log_prob, 6)) for r in score(d, model).collect())
+        assert got == Counter((i, len((t or "").split()), round(log_p(t or ""), 6)) for i, t, _ in rows)
+    new = docs(spark, [(1, "w1 neverseen w2 alsonever", "s")])
+    assert abs(score(new, model).first().log_prob - log_p("w1 neverseen w2 alsonever")) < 1e-6
+    empty = docs(spark, [])
+    assert score(empty, train(empty)).count() == 0
+
+
+def test_katz_whole_counts_words_beyond_65000(spark):
+    """Each rare word has its own probability: junk of words that occur once is as unlikely as it is."""
+    from terraloom.llm.katz_whole import op2_katz, score, train
+    from terraloom.llm.queries import QUERIES
+
+    assert QUERIES["op2_katz"] is op2_katz
+    rows = [(i, " ".join(f"a{(i * 1000 + j) % 70000}" for j in range(1000)), "s") for i in range(210)]
+    rows.append((999, " ".join(f"junk{j}" for j in range(300)), "s"))
+    model = train(docs(spark, rows))
+    assert model.words.count() == 70301  # and the boundary
+    got = {r.doc_id: r.perplexity for r in score(docs(spark, rows), model).collect()}
+    assert got[999] > 100_000 and max(v for k, v in got.items() if k != 999) < 10
