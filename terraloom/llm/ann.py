@@ -8,7 +8,11 @@ that it is nearer to than the point by the factor alpha go, and so on. Edges
 back are added and pruned alike. A query runs a beam search on every shard and
 the ``k`` best of all shards are its answer. Distances are Euclidean.
 
-Every vector is a query. Queries travel once per shard, in Arrow batches; a
+Equal vectors are one node of one graph, which keeps their ids: among copies
+pruning would leave all but one unreachable. What a node finds is expanded to
+the ids of the nodes found, its own included.
+
+Every node is a query. Queries travel once per shard, in Arrow batches; a
 shard's graph is held by the tasks that serve it, ``SLICES`` per shard.
 
 Edge cases: rows with a null id, a null or empty vector, null or non-finite
@@ -199,9 +203,10 @@ def neighbours(embeddings: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, sha
     schema = "vec_id long, neighbor_id long, distance double"
     if not sizes:
         return spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
-    dim, n = sizes[0]["d"], sizes[0]["count"]
-    parts = max(1, -(-n // shard_rows))
-    rows = rows.filter(F.size("v") == dim)
+    dim = sizes[0]["d"]
+    nodes = table(rows.filter(F.size("v") == dim).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v"), "ann-nodes")
+    parts = max(1, -(-nodes.count() // shard_rows))
+    rows = nodes.select("id", "v")
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     index = table(placed.groupBy("shard").applyInArrow(_index, "shard int, ids binary, vectors binary, edges binary, entry binary"), "ann-graphs")
     pack = F.arrow_udf(lambda v: pa.array([np.asarray(x.values, np.float32).tobytes() for x in v], pa.binary()), "binary")
@@ -214,6 +219,14 @@ def neighbours(embeddings: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, sha
     served = graphs.unionByName(asked).repartition(parts * SLICES, "shard", "slice").sortWithinPartitions("shard", "slice", "is_query")
     found = served.select("shard", "is_query", "id", "ids", "vectors", "edges", "entry").mapInArrow(_serve(k, beam), schema)
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k).alias("b"))
+    # The k nearest nodes besides the own one; of each the k + 1 lowest ids are enough, as one may be the query itself.
+    near = best.select(F.col("vec_id").alias("node"), F.explode("b").alias("x")).select("node", F.col("x.neighbor_id").alias("id"), "x.distance")
+    near = near.unionByName(nodes.select(F.col("id").alias("node"), "id", F.lit(0.0).alias("distance")))
+    few = nodes.select("id", F.slice("ids", 1, k + 1).alias("few"))
+    near = near.join(few, "id").select("node", F.transform("few", lambda i: F.struct(F.col("distance"), i.alias("neighbor_id"))).alias("b"))
+    near = near.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k + 1).alias("b"))
+    members = nodes.select(F.col("id").alias("node"), F.explode("ids").alias("vec_id"))
+    best = members.join(near, "node").select("vec_id", F.slice(F.filter("b", lambda x: x["neighbor_id"] != F.col("vec_id")), 1, k).alias("b"))
     return best.select("vec_id", F.posexplode("b").alias("r", "x")).select("vec_id", (F.col("r") + 1).alias("rank"), "x.neighbor_id", "x.distance")
 
 
