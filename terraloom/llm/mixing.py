@@ -1,9 +1,12 @@
 """Operator 4: mixing sources to target weights by the cube method.
 
 Every document of a source gets the same inclusion probability, chosen so that
-the expected tokens of the sources stand in the target weights and as much of
-the corpus as possible is kept. Without given weights a source weighs its
-tokens to the power ``alpha``.
+the expected tokens of the sources stand in the target weights. With given
+weights as much of the corpus as possible is kept. Without them a source weighs
+its tokens to the power ``alpha``, and the share ``keep`` of all tokens is
+expected: a source whose part would be more than it has is kept whole, and the
+others share the rest by their weights, so that no small source scales down the
+others. A share given with weights has the same effect on them.
 
 The flight phase of the cube method moves these probabilities at random through
 the null space of the balancing constraints (documents and tokens of the
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import read, small, table
 from terraloom.llm.packing import tokens
 
-ALPHA, BLOCK, SEED = 0.5, 4096, 11
+ALPHA, KEEP, BLOCK, SEED = 0.5, 0.75, 4096, 11
 _UNITS = "s string, d long, u long, c long, n long, pi double, p double"
 
 
@@ -107,17 +110,23 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def targets(sources: dict, weights: dict | None, alpha: float) -> dict:
-    """Inclusion probability by source, from {source: (documents, tokens)}: the largest that the weights allow."""
+def targets(sources: dict, weights: dict | None, alpha: float, keep: float | None = None) -> dict:
+    """Inclusion probability by source, from {source: (documents, tokens)}: for the share keep of the tokens, or the largest that the weights allow."""
     given = {s: float(t) ** alpha for s, (_, t) in sources.items() if t} if weights is None else {s: float(w) for s, w in weights.items() if w and w > 0 and sources.get(s, (0, 0))[1]}
     out = {s: 1.0 for s, (_, t) in sources.items() if not t and (weights is None or (weights.get(s) or 0) > 0)}
-    if given:
+    if given and keep is None and weights is not None:
         unit = min(sources[s][1] / w for s, w in given.items())
         out |= {s: min(1.0, unit * w / sources[s][1]) for s, w in given.items()}
+    elif given:
+        left, weight = (KEEP if keep is None else keep) * sum(sources[s][1] for s in given), sum(given.values())
+        # Sources that run out first come first; what they lack goes to the others.
+        for s in sorted(given, key=lambda s: sources[s][1] / given[s]):
+            out[s] = min(1.0, max(left, 0.0) * given[s] / weight / sources[s][1])
+            left, weight = left - out[s] * sources[s][1], weight - given[s]
     return out
 
 
-def draw(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+def draw(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block: int = BLOCK, keep: float | None = None) -> DataFrame:
     """The documents drawn, as (s source, d doc_id, u hash of the row, c copy, n tokens, pi probability).
 
     Equal rows, by id and hash, are told apart by their copy number.
@@ -126,7 +135,7 @@ def draw(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA
     units = documents.select(F.col("source").cast("string").alias("s"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.lit(SEED), "doc_id", "text", "source").alias("u"), tokens().cast("long").alias("n"))
     units = table(units.groupBy("s", "d", "u", "n").agg(F.count("*").alias("k")), "mixing-units")
     sources = {r.s: (r.docs, r.size) for r in units.groupBy("s").agg(F.sum("k").alias("docs"), F.sum(F.col("n") * F.col("k")).alias("size")).collect()}
-    pi = targets(sources, weights, alpha)
+    pi = targets(sources, weights, alpha, keep)
     if not pi:
         return units.limit(0).select("s", "d", "u", F.lit(0).cast("long").alias("c"), "n", F.lit(0.0).alias("pi"))
     # One row per source that is drawn from; sources are few, and the size is checked.
@@ -151,14 +160,14 @@ def draw(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA
     return out.select("s", "d", "u", "c", "n", "pi")
 
 
-def mix(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA) -> DataFrame:
+def mix(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA, keep: float | None = None) -> DataFrame:
     """doc_id, source, n_tokens, inclusion for each document drawn."""
-    return draw(documents, weights, alpha).select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("n_tokens"), F.col("pi").alias("inclusion"))
+    return draw(documents, weights, alpha, keep=keep).select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("n_tokens"), F.col("pi").alias("inclusion"))
 
 
-def select_rows(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA) -> DataFrame:
+def select_rows(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA, keep: float | None = None) -> DataFrame:
     """The rows drawn, with all their columns."""
-    drawn = draw(documents, weights, alpha).groupBy(F.col("u").alias("__mix_u"), F.col("d").alias("__mix_d")).agg(F.count("*").alias("__mix_k"), F.max("c").alias("__mix_c"))
+    drawn = draw(documents, weights, alpha, keep=keep).groupBy(F.col("u").alias("__mix_u"), F.col("d").alias("__mix_d")).agg(F.count("*").alias("__mix_k"), F.max("c").alias("__mix_c"))
     drawn = table(drawn, "mixing-drawn")
     # Of equal rows only as many stay as were drawn; that takes a count within equal rows, where there are any at all.
     repeated = bool(drawn.filter("__mix_k > 1 OR __mix_c > 0").limit(1).count())
