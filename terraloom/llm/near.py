@@ -6,9 +6,10 @@ of ``SKETCHES`` hash functions picks the ``PICKED`` least k-mers, which are kept
 in text order: two documents agree in a sketch if they hold the same k-mers in
 the same order, which follows edit similarity. The k-mers of a sketch are taken
 at least ``GAP`` words apart (a third of the text, if less), so a passage that
-many documents share doesn't bring them together by itself. Texts of up to ``SHORT`` words,
-where one edit touches most k-mers, get as many sketches again of ``SHORT_PICKED``
-single words.
+many documents share doesn't bring them together by itself. Texts of ``MIDDLE``
+words get as many sketches again, since the share of k-mers that edits leave
+varies more there. Texts of up to ``SHORT`` words, where one edit touches most
+k-mers, get ``SHORT_SKETCHES`` more, of ``SHORT_PICKED`` single words.
 
 Documents with equal words are one node. Nodes that agree in a sketch share a
 bucket. Verification is complete but avoids what it can: first each node
@@ -38,9 +39,11 @@ from terraloom.llm.common import read, small, table
 from terraloom.operators.graph import components
 from terraloom.llm.tokens import chunks, mix, row_of, window_hashes, word_bounds, word_hashes
 
-K, PICKED, SKETCHES, SHORT, SHORT_PICKED, SIMILAR, GAP = 3, 2, 32, 24, 3, 0.7, 120
+K, PICKED, SKETCHES, SHORT, SHORT_SKETCHES, SHORT_PICKED, SIMILAR, GAP = 3, 2, 80, 24, 32, 3, 0.7, 120
+#: From SIMILAR * SHORT words on, so that both texts of a pair have the same kinds of sketches.
+MIDDLE = (17, 100)
 _U, _MAX = np.uint64, np.uint64(0xFFFFFFFFFFFFFFFF)
-_SEEDS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 62, (SKETCHES, 2), dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_SEEDS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 62, (2 * SKETCHES, 2), dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _SKETCH = T.StructType([T.StructField("v", T.LongType()), T.StructField("w", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("s", T.ArrayType(T.LongType()))])
 
 
@@ -63,14 +66,15 @@ def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray, seed: int = 0, gap: int = 0) -> None:
-    """Sketches of the k-mers h (occurrences labelled) of consecutive rows, written to out (a row each)."""
+    """Sketches of the k-mers h (occurrences labelled) of consecutive rows, written to out (a row each, a column per sketch)."""
     if not len(h):
         return
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(first, len(h)))
     place, near = np.arange(len(h)), np.repeat(np.minimum(gap, (size + K - 1) // 3), size)
-    for j in range(SKETCHES):
-        x = (h ^ _SEEDS[j, 0]) * _SEEDS[j, 1]
+    for j in range(out.shape[1]):
+        a, b = _SEEDS[(j + seed) % len(_SEEDS)]
+        x = (h ^ a) * b
         x ^= x >> _U(31)
         places = []
         for k in range(picked):
@@ -109,15 +113,18 @@ def sketch(text: pa.Array) -> pa.Array:
         ns.append(count)
         kmers = window_hashes(h, K)
         ok = row[: len(kmers)] == row[K - 1 :] if len(kmers) else np.zeros(0, bool)
-        sk = np.zeros((n, 2 * SKETCHES), np.int64)
+        sk = np.zeros((n, 2 * SKETCHES + SHORT_SKETCHES), np.int64)
         r = row[: len(kmers)][ok]
         order_minhash(labelled(kmers[ok], r), r, PICKED, sk[:, :SKETCHES], gap=GAP)
+        middle = (count >= MIDDLE[0]) & (count <= MIDDLE[1])
+        more = ok & middle[row[: len(kmers)]]
+        r = row[: len(kmers)][more]
+        order_minhash(labelled(kmers[more], r), r, PICKED, sk[:, SKETCHES : 2 * SKETCHES], SKETCHES, GAP)
         short = count[row] <= SHORT
-        order_minhash(labelled(h[short], row[short]), row[short], SHORT_PICKED, sk[:, SKETCHES:], SKETCHES)
-        use = np.zeros((n, 2), bool)
-        use[:, 0], use[:, 1] = count >= K, (count <= SHORT) & (count > 0)
-        lists.append(sk.reshape(n, 2, SKETCHES)[use].ravel())
-        sizes.append(use.sum(axis=1) * SKETCHES)
+        order_minhash(labelled(h[short], row[short]), row[short], SHORT_PICKED, sk[:, 2 * SKETCHES :], 2 * SKETCHES)
+        use = np.repeat(np.stack([count >= K, middle, (count <= SHORT) & (count > 0)], axis=1), [SKETCHES, SKETCHES, SHORT_SKETCHES], axis=1)
+        lists.append(sk[use])
+        sizes.append(use.sum(axis=1))
     if not vs:
         return pa.array([], pa.struct([("v", pa.int64()), ("w", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64()))]))
     n = np.concatenate(ns).astype(np.int32)
