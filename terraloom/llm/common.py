@@ -28,6 +28,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return storage.table(df, name)
 
 
+drop = storage.drop
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its rows, at row_bytes each, fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -1,123 +1,164 @@
-"""Katz backoff over a closed vocabulary; the query op2_katz uses ``katz_whole``, which counts every word.
+"""Operator 2: language-model scores by Katz backoff, of order three over the whole vocabulary.
 
-A bigram model over the ``VOCABULARY`` most frequent words of the corpus; other
-words are one unknown word, and each document is framed by a boundary. Counts
-cover all documents. Bigrams that occur ``LEAST`` times or more count as seen,
-discounted by Good-Turing (Katz's form, exact counts above ``LARGE``); the mass
-that this frees goes to the unseen words of the history in proportion to their
-unigram probability:
+Every word, bigram and trigram of the corpus is counted; each document is framed
+by boundaries. N-grams that occur ``least`` times or more count as seen, with
+Good-Turing discounts d; the mass that this frees goes to the unseen words of
+the history in proportion to the next lower order:
 
-    P(w | h) = d(c) c(h w) / c(h)   if seen,   else alpha(h) P(w)
+    P3(w | u v) = d3(c) c(u v w) / c(u v)   if seen,   else alpha(u v) P2(w | v)
+    P2(w | v)   = d2(c) c(v w) / c(v)       if seen,   else alpha(v) P1(w)
+    P1(w)       = c(w) / (tokens + 1), one count being kept for the unknown word
 
-with alpha(h) = (1 - seen mass of h) / (1 - unigram mass of the seen words), so
-that each history's probabilities sum to one exactly.
+with alpha(h) = (1 - seen mass of h) / (1 - lower mass of the seen words), so
+that the probabilities of every history sum to one. Counts above ``LARGE`` aren't
+discounted; a history that has no others keeps one count for other words.
 
-Bigram counts are a table in shards by content, keys gap-coded. What travels
-per token is its shard's gap-coded key and a document number, about three bytes.
-Unigrams, alphas and the ``HOT`` most frequent bigrams are broadcast: their size
-is set by these parameters, not by the corpus. Hot bigrams are evaluated where
-they are read, which also keeps frequent keys from overloading a shard.
+Documents are scored by the model that they are counted in. An n-gram seen once
+is the document's own there, so ``least`` is 2: with 1 any junk would predict
+itself. With 1, for other texts than the corpus, counts of one are discounted
+like others.
+
+All n-grams that end in (v, w) live in the shard of v, so counts, weights and
+the recursion of a token need one shard only. Words counted more than ``spread``
+times have several shards, by u; their bigrams are counted in shards of their
+own, and seen ones are copied to the shards of v. What travels is a sorted list
+of (v, w, u) per task and shard, packed; words among the ``HOT`` most frequent
+travel as 16-bit numbers, others as 63-bit fingerprints, which changes no
+result. Log P1 of a word beyond those is added in the word's own shard.
+
+The model is a table of packed seen n-grams and backoff weights by shard, and a
+table of words.
 
 Edge cases: null and empty texts have no words; their score is that of the
 boundary following itself. Repeated rows and ids are scored each on its own and
-count each; null ids are kept; an empty table gives no rows; other columns are
-ignored.
+count each; null ids are kept; an empty table gives no rows; a very long text is
+counted and scored whole, its n-grams cut into several lists; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import shards, table
+from terraloom.llm.common import drop, read, shards, table
 from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
 
-VOCABULARY, LEAST, LARGE, HOT = 65_000, 2, 5, 1 << 16
-#: Words of a task that are held before they are shipped.
-HELD = 1 << 21
-UNKNOWN, BOUNDARY, WORDS = 0, 1, 2  # ids; words follow
+LEAST, LARGE, HOT, SPREAD = 2, 5, 65_535, 1 << 20
+#: Tokens of a task that are held before they are shipped, and the most in one list: word numbers within a list take 21 bits.
+HELD, LIST = 3 << 19, 1 << 21
 _U = np.uint64
+_RARE = _U(1) << _U(63)
+_GOLD = _U(0x9E3779B97F4A7C15)
+#: The fingerprint that stands for the boundary.
+BOUNDARY = _U(0x5BF03635A9D1E1C7) | _RARE
+_TINY = 1e-300
+_CODEC = pa.Codec("zstd", 1)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, one byte plane after the other, so that the upper ones compress."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+# --- Packing ----------------------------------------------------------------------------------------------
 
 
-def unplanes(blob) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def pack(*pieces: np.ndarray) -> bytes:
+    """Arrays of 16-, 32- or 64-bit numbers, byte plane by byte plane, compressed."""
+    head, body = [len(pieces)], []
+    for p in pieces:
+        head += [p.dtype.itemsize, len(p)]
+        body.append(p.view(np.uint8).reshape(-1, p.dtype.itemsize).T.tobytes())
+    raw = np.array(head, "<u4").tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
-def gaps(values: np.ndarray) -> bytes:
-    """Ascending unsigned 32-bit numbers as gaps."""
-    return planes(np.diff(values, prepend=values.dtype.type(0)))
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(_CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
+    head, out = raw[: 4 * (1 + 2 * len(kinds))].view("<u4")[1:].tolist(), []
+    at = 4 * (1 + 2 * len(kinds))
+    for kind, width, n in zip(kinds, head[::2], head[1::2], strict=True):
+        out.append(raw[at : at + width * n].reshape(width, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind))
+        at += width * n
+    return out
 
 
-def ungaps(blob) -> np.ndarray:
-    return np.cumsum(unplanes(blob), dtype=np.uint32)
+def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as 16-bit numbers, HOT for an escape, and the escaped fingerprints."""
+    rare = codes >= _RARE
+    return np.where(rare, _U(HOT), codes).astype(np.uint16), codes[rare]
 
 
-@dataclass
-class Unigrams:
-    """words: sorted fingerprints of the vocabulary, the word at i having id WORDS + i; count by id."""
-
-    words: np.ndarray
-    count: np.ndarray
-
-    @property
-    def p(self) -> np.ndarray:
-        """Probabilities by id. Without any unknown word in the corpus one is reserved."""
-        c = self.count.astype(float)
-        c[UNKNOWN] = max(c[UNKNOWN], 1)
-        return c / c.sum()
-
-    def keys(self, text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, document of each bigram, bigram as history << 16 | word) by chunk of rows; the end of a text counts."""
-        for a, b, raw, off in chunks(text):
-            starts, ends, first = word_bounds(raw, off)
-            h = word_hashes(raw, starts, ends, lower=True)
-            ids = np.zeros(len(h), np.uint32)
-            if len(self.words):
-                i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-                ids = np.where(self.words[i] == h, i + WORDS, UNKNOWN).astype(np.uint32)
-            n = np.diff(first)
-            seq = np.full(len(h) + b - a + 1, BOUNDARY, np.uint32)
-            seq[1 + np.arange(len(h)) + np.repeat(np.arange(b - a), n)] = ids
-            yield a, np.repeat(np.arange(b - a), n + 1), seq[:-1] << np.uint32(16) | seq[1:]
+def joined(small: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    out = small.astype(_U)
+    out[small == HOT] = rare
+    return out
+
+
+def key2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _GOLD + mix(b + _U(1)))
+
+
+def shard_of(code: np.ndarray, parts: int) -> np.ndarray:
+    return (((mix(code + _U(7)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+
+
+def _runs(new: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs that begin where new is set."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, n)).astype(np.uint32)
+
+
+# --- Words ------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class Model:
-    """discount by count (index up to LARGE), norm and alpha by history, and the shards' table (shard, keys, counts)."""
+class Words:
+    """The most frequent words, by ascending fingerprint: counts, and over how many shards each is spread (0: one, by word alone)."""
 
-    unigrams: Unigrams
-    discount: np.ndarray
-    norm: np.ndarray
-    alpha: np.ndarray
-    bigrams: DataFrame
-    parts: int
-    hot: tuple[np.ndarray, np.ndarray]
+    prints: np.ndarray
+    counts: np.ndarray
+    spread: np.ndarray
+    every: float
+
+    def codes(self, prints: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        return np.where(self.prints[i] == prints, i.astype(_U), prints)
+
+    def print_of(self, codes: np.ndarray) -> np.ndarray:
+        hot = codes < _RARE
+        return np.where(hot, self.prints[np.where(hot, codes, 0).astype(np.int64)], codes)
 
-    def log_p(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Log probability of bigrams with their count in the corpus; those counted less than LEAST back off."""
-        h, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
-        seen = self.discount[np.minimum(count, LARGE + 1)] * count / self.norm[h]
-        return np.log(np.where(count >= LEAST, seen, np.maximum(self.alpha[h] * self.unigrams.p[w], 1e-300)))
+    def log_p(self, codes: np.ndarray) -> np.ndarray:
+        """Log P1 of frequent words, 0 for others."""
+        hot = codes < _RARE
+        return np.where(hot, np.log(self.counts / self.every)[np.where(hot, codes, 0).astype(np.int64)], 0.0)
+
+    def spread_of(self, codes: np.ndarray) -> np.ndarray:
+        hot = codes < _RARE
+        return np.where(hot, self.spread[np.where(hot, codes, 0).astype(np.int64)], 0)
+
+
+def framed(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words of each row, fingerprints with two boundaries before and one after each row, places of the tokens among them)."""
+    for a, b, raw, off in chunks(text):
+        starts, ends, first = word_bounds(raw, off)
+        h, n, rows = word_hashes(raw, starts, ends, lower=True) | _RARE, np.diff(first), np.arange(b - a)
+        seq, token = np.full(len(h) + 3 * (b - a), BOUNDARY), np.ones(len(h) + 3 * (b - a), bool)
+        seq[2 + np.arange(len(h)) + 3 * np.repeat(rows, n)] = h
+        begin = first[:-1] + 3 * rows
+        token[begin] = token[begin + 1] = False
+        yield a, n, seq, np.flatnonzero(token)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
-        for _, _, raw, off in chunks(batch["text"]):
-            starts, ends, _ = word_bounds(raw, off)
-            held.append(word_hashes(raw, starts, ends, lower=True))
-            size += len(starts)
+        for _, _, seq, at in framed(batch["text"]):
+            held.append(seq[at])
+            size += len(at)
             if size >= HELD:
                 yield _counted(held)
                 held, size = [], 0
@@ -127,75 +168,200 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(held: list) -> pa.RecordBatch:
     u, c = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["w", "c"])
+
+
+# --- What tasks ship ----------------------------------------------------------------------------------------
+
+_SHIPPED = "shard int, kind int, t long, ids array<long>, a binary, b binary"
+TOKENS, PAIRS, RARE = 0, 1, 2
+_TOKEN_KINDS = ("<u2", "<u8", "<u4", "<u2", "<u8", "<u4", "<u2", "<u8", "<u4", "<u4")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["shard", "kind", "t", "ids", "a", "b"])
+
+
+def _by_shard(shard: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by shard that keeps order inside, and (shard, from, to) in it."""
+    order = np.argsort(shard.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(parts + 1))
+    return order, [(int(s), int(edge[s]), int(edge[s + 1])) for s in np.flatnonzero(np.diff(edge))]
+
+
+def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, doc: np.ndarray | None) -> list[tuple]:
+    """Rows of one list of tokens: (v, w, u) by shard, with documents if there are any; else also the bigrams of spread words."""
+    lo = int(at[0]) - 2
+    own, number = np.unique(seq[lo : int(at[-1]) + 1], return_inverse=True)
+    code, at = words.codes(own), at - lo
+    base, many = shard_of(code, parts), words.spread_of(code)
+    v, u = number[at - 1], number[at - 2]
+    key = v.astype(_U) << _U(42) | number[at].astype(_U) << _U(21) | u.astype(_U)
+    if doc is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+    mask = _U((1 << 21) - 1)
+    v, w, u = ((key >> _U(s) & mask).astype(np.int64) for s in (42, 21, 0))
+    m = many[v]
+    shard = np.where(m > 0, (base[v] + (mix(code[u]) % np.maximum(m, 1).astype(_U)).astype(np.int64)) % parts, base[v])
+    rows = []
+    if doc is None and m.any():
+        pair = key[m > 0] >> _U(21)
+        first, n = _runs(np.diff(pair, prepend=~pair[:1]) != 0, len(pair))
+        pv, pw = code[(pair[first] >> _U(21)).astype(np.int64)], code[(pair[first] & mask).astype(np.int64)]
+        order, cuts = _by_shard(shard_of(key2(pv, pw), parts), parts)
+        pv, pw, n = pv[order], pw[order], n[order]
+        rows += [(s, PAIRS, t, None, pack(*split(pv[i:j]), *split(pw[i:j]), n[i:j]), None) for s, i, j in cuts]
+    order, cuts = _by_shard(shard, parts)
+    key, v, w, u = key[order], v[order], w[order], u[order]
+    doc = doc[order].astype(np.uint32) if doc is not None else np.zeros(0, np.uint32)
+    for s, i, j in cuts:
+        k = key[i:j]
+        change = np.append(~_U(0), k[1:] ^ k[:-1])  # bits in which neighbours differ
+        fu, nu = _runs(change != 0, j - i)
+        fw, _ = _runs(change >> _U(21) != 0, j - i)
+        fv, _ = _runs(change >> _U(42) != 0, j - i)
+        nw = np.diff(np.append(np.searchsorted(fu, fw), len(fu))).astype(np.uint32)
+        nv = np.diff(np.append(np.searchsorted(fw, fv), len(fw))).astype(np.uint32)
+        rows.append((s, TOKENS, t, None, pack(*split(code[v[i + fv]]), nv, *split(code[w[i + fw]]), nw, *split(code[u[i + fu]]), nu, doc[i:j]), None))
+    return rows
+
+
+def _tokens(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(v, w, u, occurrences, documents) of a packed list, documents by occurrence."""
+    v16, vx, nv, w16, wx, nw, u16, ux, nu, doc = unpack(blob, *_TOKEN_KINDS)
+    w, v = joined(w16, wx), np.repeat(joined(v16, vx), nv)
+    return np.repeat(v, nw), np.repeat(w, nw), joined(u16, ux), nu, doc
+
+
+def _ship(known, parts: int, scored: bool):
+    """Per task: the lists of its tokens; with `scored` also its documents (shard under 0) and its words that aren't frequent."""
+
+    def flush(t: int, ids: list, n: list, seqs: list, ats: list) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        shift = np.cumsum([0, *(len(s) for s in seqs[:-1])])
+        seq, at = np.concatenate(seqs), np.concatenate([a + s for a, s in zip(ats, shift, strict=True)])
+        doc = np.repeat(np.arange(len(n)), np.asarray(n) + 1) if scored else None
+        rows = []
+        for i in range(0, len(at), LIST - 2):
+            part = slice(i, i + LIST - 2)
+            rows += _lists(words, parts, t, seq, at[part], doc[part] if scored else None)
+        if scored:
+            rows.append((-1 - (t + (t >> 32)) % parts, RARE, t, ids, np.asarray(n, "<i8").tobytes(), None))
+            w = seq[at]
+            code = words.codes(w)
+            rare = code >= _RARE
+            code, own = code[rare], doc[rare]
+            order = np.argsort(code)
+            code, own = code[order], own[order].astype(np.uint32)
+            order, cuts = _by_shard(shard_of(code, parts), parts)
+            code, own = code[order], own[order]
+            rows += [(s, RARE, t, None, pack(np.diff(code[i:j], prepend=_U(0)), own[i:j]), None) for s, i, j in cuts]
+        yield _batch(rows)
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = TaskContext.get().partitionId() << 32
+        ids, n, seqs, ats, size = [], [], [], [], 0
+        for batch in batches:
+            own = batch["doc_id"].to_pylist() if scored else None
+            for a, count, seq, at in framed(batch["text"]):
+                seqs.append(seq)
+                ats.append(at)
+                n += count.tolist()
+                ids += own[a : a + len(count)] if scored else []
+                size += len(at)
+                if size >= HELD:
+                    yield from flush(t, ids, n, seqs, ats)
+                    t, ids, n, seqs, ats, size = t + 1, [], [], [], [], 0
+        if size:
+            yield from flush(t, ids, n, seqs, ats)
 
+    return ship
 
-def unigrams(texts: DataFrame, size: int) -> Unigrams:
-    words = table(texts.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "katz-unigrams")
-    top = words.orderBy(F.desc("c"), "h").limit(size).toArrow()  # the vocabulary size bounds it
-    total, docs = words.agg(F.sum("c")).first()[0] or 0, texts.count()
-    h, c = top["h"].to_numpy().view(_U), top["c"].to_numpy()
-    order = np.argsort(h)
-    return Unigrams(h[order], np.concatenate([[total - c.sum(), docs], c[order]]).astype(np.int64))
 
+# --- Counting -----------------------------------------------------------------------------------------------
 
-def _shard(key: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(key.astype(_U) + _U(1)) >> _U(20)) % _U(parts)
+_COUNTS = "shard int, kind int, tally2 array<long>, tally3 array<long>, bigrams binary, trigrams binary"
+_BIGRAM, _TRIGRAM = ("<u2", "<u8", "<u2", "<u8", "<u8", "<u8"), ("<u2", "<u8", "<u2", "<u8", "<u2", "<u8", "<u8", "<u8")
 
 
-def _split(shard: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    edge = np.searchsorted(shard, np.arange(parts + 1))
-    for s in np.flatnonzero(np.diff(edge)):
-        yield int(s), int(edge[s]), int(edge[s + 1])
+def _added(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of one entry of each distinct key, its number by entry, sum of c)"""
+    _, at, inv = np.unique(key, return_index=True, return_inverse=True)
+    return at, inv, np.bincount(inv, c).astype(np.int64)
 
 
-def _count(known, parts: int):
-    def flush(held: list) -> pa.RecordBatch:
-        key, c = np.unique(np.concatenate(held), return_counts=True)
-        shard = _shard(key, parts)
-        order = np.argsort(shard, kind="stable")
-        key, c, shard = key[order], c[order], shard[order]
-        cut = list(_split(shard, parts))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in cut], pa.int32()), pa.array([gaps(key[i:j]) for _, i, j in cut], pa.binary()), pa.array([planes(c[i:j]) for _, i, j in cut], pa.binary())], names=["shard", "keys", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for _, _, key in known.value.keys(batch["text"]):
-                held.append(key)
-                size += len(key)
-                if size >= HELD:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+def _tally(c: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(c, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2].tolist()
 
-    return count
 
+def _add_up(known, least: int):
+    """One shard's seen n-grams: bigrams (v, w, c, c(v)) and trigrams (u, v, w, c, c(u v)); kind PAIRS holds those of spread words, without c(v)."""
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shard: its seen bigrams, and how many bigrams occur once, twice, ..., LARGE + 1 times."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for s, keys, counts in zip(batch["shard"].to_pylist(), batch["keys"], batch["counts"], strict=True):
-            held.setdefault(s, []).append((ungaps(keys.as_buffer()), unplanes(counts.as_buffer())))
-    for s, parts in held.items():
-        key, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        c = np.bincount(inv, np.concatenate([c for _, c in parts])).astype(np.int64)
-        tally = np.bincount(np.minimum(c, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
-        seen = c >= LEAST
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([gaps(key[seen])], pa.binary()), pa.array([planes(np.minimum(c[seen], 0xFFFFFFFF))], pa.binary()), pa.array([tally.tolist()], pa.list_(pa.int64()))], names=["shard", "keys", "counts", "tally"])
+    def add(rows: pa.Table) -> pa.Table:
+        kind, blobs, shard, out = rows["kind"].to_numpy(), rows["a"], rows["shard"][0].as_py(), []
+        parts = [_tokens(blobs[i].as_py())[:4] for i in np.flatnonzero(kind == TOKENS).tolist()]
+        if parts:
+            v, w, u, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            at, _, c3 = _added(key2(key2(u, v), w), c)
+            u, v, w = u[at], v[at], w[at]
+            _, inv, n = _added(key2(u, v), c3)
+            seen = c3 >= least
+            trigrams = pack(*split(u[seen]), *split(v[seen]), *split(w[seen]), c3[seen].astype(_U), n[inv][seen].astype(_U))
+            one = known.value.spread_of(v) == 0
+            v, w, c2 = v[one], w[one], c3[one]
+            at, _, c2 = _added(key2(v, w), c2)
+            v, w = v[at], w[at]
+            _, inv, n = _added(v, c2)
+            seen = c2 >= least
+            out.append((shard, TOKENS, _tally(c2), _tally(c3), pack(*split(v[seen]), *split(w[seen]), c2[seen].astype(_U), n[inv][seen].astype(_U)), trigrams))
+        pairs = [unpack(blobs[i].as_py(), "<u2", "<u8", "<u2", "<u8", "<u4") for i in np.flatnonzero(kind == PAIRS).tolist()]
+        if pairs:
+            v, w, c = (np.concatenate(x) for x in zip(*[(joined(a, b), joined(d, e), n) for a, b, d, e, n in pairs], strict=True))
+            at, _, c2 = _added(key2(v, w), c)
+            seen = c2 >= least
+            out.append((shard, PAIRS, _tally(c2), [], pack(*split(v[at][seen]), *split(w[at][seen]), c2[seen].astype(_U), np.zeros(int(seen.sum()), _U)), None))
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["shard", "kind", "tally2", "tally3", "bigrams", "trigrams"])
+
+    return add
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(blob: bytes) -> tuple[np.ndarray, ...]:
+    v16, vx, w16, wx, c, n = unpack(blob, *_BIGRAM)
+    return joined(v16, vx), joined(w16, wx), c.astype(np.int64), n.astype(np.int64)
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that aren't frequent and follow a seen history, by shard."""
     for batch in batches:
-        for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-            key, c = ungaps(keys.as_buffer()), unplanes(counts.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint32(16)).astype(np.int32)), pa.array((key & np.uint32(0xFFFF)).astype(np.int32)), pa.array(c.astype(np.int64))], names=["h", "w", "c"])
+        for shard, blob in zip(batch["shard"].to_pylist(), batch["bigrams"], strict=True):
+            w = np.unique(_bigrams(blob.as_py())[1])
+            w = w[w >= _RARE]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), shard, np.int32)), pa.array(w.view(np.int64))], names=["shard", "w"])
+
+
+def _pairs(known):
+    """Bigrams of spread words as rows, P1 of frequent words filled in."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        for batch in batches:
+            for blob in batch["bigrams"]:
+                v, w, c, _ = _bigrams(blob.as_py())
+                hot = w < _RARE
+                p = np.where(hot, words.counts[np.where(hot, w, 0).astype(np.int64)], 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(w.view(np.int64)), pa.array(c), pa.array(p, mask=~hot)], names=["v", "w", "c", "known"])
+
+    return rows
 
 
 def discounts(tally: np.ndarray) -> np.ndarray:
-    """Katz's factors by count 0..LARGE + 1 from the numbers of bigrams that occur 1..LARGE + 1 times; a count for which Good-Turing gives none in (0, 1) loses half a count."""
+    """Katz's factors by count 0..LARGE + 1 from the numbers of n-grams that occur 1..LARGE + 1 times; a count for which Good-Turing gives none in (0, 1) loses half a count."""
     d = np.ones(LARGE + 2)
     n = np.concatenate([[0], tally]).astype(float)
     for r in range(1, LARGE + 1):
@@ -208,126 +374,260 @@ def discounts(tally: np.ndarray) -> np.ndarray:
     return d
 
 
-def train(documents: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> Model:
-    """Counts all of documents."""
-    spark = documents.sparkSession
-    texts = documents.select("text")
-    parts = shards(spark)
-    uni = unigrams(texts, vocabulary)
-    known = spark.sparkContext.broadcast(uni)
-    counted = texts.mapInArrow(_count(known, parts), "shard int, keys binary, counts binary")
-    bigrams = table(counted.repartition(parts, "shard").mapInArrow(_add_up, "shard int, keys binary, counts binary, tally array<long>"), "katz-bigrams")
-    tally = np.zeros(LARGE + 1)
-    for r in bigrams.select(F.posexplode("tally").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
-        tally[r.r] = r.n
-    d = discounts(tally)
-    rows = bigrams.select("keys", "counts").mapInArrow(_rows, "h int, w int, c long")
-    p = spark.createDataFrame(list(enumerate(uni.p.tolist())), "w int, p double")
-    factor = F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least("c", F.lit(LARGE + 1)).cast("int") + 1)
-    sums = rows.join(F.broadcast(p), "w").groupBy("h").agg(F.sum(factor * F.col("c")).alias("seen"), F.sum("p").alias("p")).toArrow()  # a row per history, at most the vocabulary
-    norm, alpha = np.maximum(uni.count.astype(float), 1), np.ones(len(uni.count))
-    h, seen, mass = (sums[c].to_numpy() for c in ("h", "seen", "p"))
-    left = 1 - mass
-    full = left < 1e-9  # every word follows this history
-    norm[h[full]] = seen[full]
-    alpha[h] = np.where(full, 0, np.maximum(1 - seen / norm[h], 0) / np.where(full, 1, left))
-    model = Model(uni, d, norm, alpha, bigrams.select("shard", "keys", "counts"), parts, (np.zeros(0, np.uint32), np.zeros(0)))
-    top = rows.orderBy(F.desc("c"), "h", "w").limit(hot).toArrow()  # `hot` bounds it
-    key = (top["h"].to_numpy().astype(np.uint32) << np.uint32(16)) | top["w"].to_numpy().astype(np.uint32)
-    order = np.argsort(key)
-    model.hot = (key[order], model.log_p(key, top["c"].to_numpy())[order])
-    return model
-
-
-def _request(model, parts: int):
-    """Per task: documents with their own sums (shard -1), and what is left to look up, by shard."""
-
-    def flush(t: int, ids: list, n: list, held: list) -> Iterator[pa.RecordBatch]:
-        doc, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        hot, log_p = model.value.hot
-        own = np.zeros(len(ids))
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            hit = hot[i] == key
-            own = np.bincount(doc[hit], log_p[i[hit]], len(ids))
-            doc, key = doc[~hit], key[~hit]
-        shard = _shard(key, parts)
-        order = np.lexsort((key, shard))
-        doc, key, shard = doc[order], key[order], shard[order]
-        cut = list(_split(shard, parts))
-        head = [-1, t, pa.array(ids, pa.int64()), np.asarray(n, np.int64).tobytes(), own.tobytes()]
-        yield _batch([head] + [[s, t, None, gaps(key[i:j]), planes(doc[i:j])] for s, i, j in cut])
-
-    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = TaskContext.get().partitionId() << 32
-        ids, n, held, size = [], [], [], 0
-        for batch in batches:
-            own = batch["doc_id"].to_pylist()
-            for a, doc, key in model.value.unigrams.keys(batch["text"]):
-                count = np.bincount(doc)
-                held.append((doc + len(ids), key))
-                ids += own[a : a + len(count)]
-                n += (count - 1).tolist()
-                size += len(key)
-                if size >= HELD:
-                    yield from flush(t, ids, n, held)
-                    t, ids, n, held, size = t + 1, [], [], [], 0
-        if held:
-            yield from flush(t, ids, n, held)
+# --- The model ----------------------------------------------------------------------------------------------
 
-    return request
 
+@dataclass
+class Model:
+    """words: w, c for every word; shards: kind, a (packed bigrams or words), b (packed trigrams) by shard; known: the frequent words, broadcast."""
 
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i].to_pylist() if isinstance(r[i], pa.Array) else r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "t", "ids", "a", "b"])
+    words: DataFrame
+    shards: DataFrame
+    known: object
+    parts: int
+    tables: list = field(default_factory=list)
+
+    def drop(self) -> None:
+        """Removes the model's tables."""
+        drop(*self.tables)
+
+
+def _weights(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Log alpha; both sums are under 1, since every order keeps mass for the unknown word."""
+    return np.log(np.maximum(1 - seen, _TINY) / np.maximum(1 - mass, _TINY))
+
+
+def _shares(d: np.ndarray, c: np.ndarray, n: np.ndarray, history: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each seen n-gram, their sum by history). A history with no mass freed, as all its counts are above LARGE, keeps one count for other words."""
+    p = d[np.minimum(c, LARGE + 1)] * c / np.maximum(n, 1)
+    full = np.bincount(history, p, size) > 1 - 1e-9
+    p = np.where(full[history], p * n / (n + 1), p)
+    return p, np.bincount(history, p, size)
+
+
+def _finish(known, d2: np.ndarray, d3: np.ndarray, spread: dict):
+    """One shard's probabilities and weights, from its counts (left), and counts of words and bigrams of spread words (right)."""
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = known.value
+        none = pack(*(np.zeros(0, k) for k in _TRIGRAM))
+        bigrams, trigrams = (left["bigrams"][0].as_py(), left["trigrams"][0].as_py()) if len(left) else (pack(*(np.zeros(0, k) for k in _BIGRAM)), none)
+        v, w, c, n = _bigrams(bigrams)
+        is_word = right["v"].is_null().to_numpy()
+        rw, rc = right["w"].to_numpy().view(_U)[is_word], right["k"].to_numpy()[is_word]
+        order = np.argsort(rw)
+        rw, rc = rw[order], rc[order]
+
+        def count_of(code: np.ndarray) -> np.ndarray:
+            hot, i = code < _RARE, np.minimum(np.searchsorted(rw, code), max(len(rw) - 1, 0))
+            return np.where(hot, words.counts[np.where(hot, code, 0).astype(np.int64)], rc[i] if len(rw) else 0)
+
+        pair = ~is_word
+        sv, sw = right["v"].filter(pa.array(pair)).to_numpy().astype(_U), right["w"].filter(pa.array(pair)).to_numpy().view(_U)
+        sc, sk = right["c"].filter(pa.array(pair)).to_numpy(), right["k"].filter(pa.array(pair)).to_numpy()
+        own, inv = np.unique(v, return_inverse=True)
+        p1 = count_of(w) / words.every
+        m, seen = _shares(d2, c, n, inv, len(own))
+        la2 = _weights(seen, np.bincount(inv, p1, len(own)))
+        ov = np.unique(sv)
+        norm = np.array([spread[int(x)][0] for x in ov.tolist()])
+        sm = d2[np.minimum(sc, LARGE + 1)] * sc / norm[np.searchsorted(ov, sv)] if len(sv) else np.zeros(0)
+        own, la2 = np.concatenate([own, ov]), np.concatenate([la2, [spread[int(x)][1] for x in ov.tolist()]])
+        v, w, p2, p1 = np.concatenate([v, sv]), np.concatenate([w, sw]), np.concatenate([m, sm]), np.concatenate([p1, sk / words.every])
+        u16, ux, v16, vx, w16, wx, c, n = unpack(trigrams, *_TRIGRAM)
+        tu, tv, tw, c, n = joined(u16, ux), joined(v16, vx), joined(w16, wx), c.astype(np.int64), n.astype(np.int64)
+        k2 = key2(v, w)
+        order = np.argsort(k2)
+        at = order[np.searchsorted(k2[order], key2(tv, tw))] if len(tv) else np.zeros(0, np.int64)
+        _, first, inv = np.unique(key2(tu, tv), return_index=True, return_inverse=True)
+        p3, seen = _shares(d3, c, n, inv, len(first))
+        la3 = _weights(seen, np.bincount(inv, p2[at], len(first)))
+        # Of words that aren't frequent, log P1 is added by their own shard, so here it is taken off.
+        less2 = np.where(w >= _RARE, np.log(np.maximum(p1, _TINY)), 0.0)
+        a = pack(*split(v), *split(w), np.log(p2) - less2, *split(own), la2)
+        b = pack(*split(tu), *split(tv), *split(tw), np.log(p3) - less2[at], *split(tu[first]), *split(tv[first]), la3)
+        return _model([((left if len(left) else right)["shard"][0].as_py(), TOKENS, a, b)])
+
+    return finish
+
+
+def _model(rows: list) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "kind", "a", "b"])
+
+
+class _Values:
+    """Values by key: sorted keys, 0 for keys that aren't there."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, value)"""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[i] == key
+        return hit, np.where(hit, self.value[i], 0.0)
+
+
+class Shard:
+    """Evaluates tokens by one shard's part of the model."""
+
+    def __init__(self, words: Words, a: bytes | None, b: bytes | None):
+        self.words = words
+        if a is None:
+            none = np.zeros(0, _U), np.zeros(0)
+            self.two = self.one = self.three = self.both = _Values(*none)
+            return
+        v16, vx, w16, wx, value, o16, ox, la = unpack(a, "<u2", "<u8", "<u2", "<u8", "<f8", "<u2", "<u8", "<f8")
+        self.two, self.one = _Values(key2(joined(v16, vx), joined(w16, wx)), value), _Values(joined(o16, ox), la)
+        u16, ux, v16, vx, w16, wx, value, hu, hux, hv, hvx, la = unpack(b, *_TRIGRAM[:6], "<f8", *_TRIGRAM[:4], "<f8")
+        self.three = _Values(key2(key2(joined(u16, ux), joined(v16, vx)), joined(w16, wx)), value)
+        self.both = _Values(key2(joined(hu, hux), joined(hv, hvx)), la)
+
+    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log P3(w | u v), less log P1(w) where w isn't frequent: the trigram, else the weight of (u, v) and the bigram, else the weight of v and the word."""
+        uv = key2(u, v)
+        seen3, p3 = self.three(key2(uv, w))
+        seen2, p2 = self.two(key2(v, w))
+        lower = np.where(seen2, p2, self.one(v)[1] + self.words.log_p(w))
+        return np.where(seen3, p3, self.both(uv)[1] + lower)
+
+
+def _packed_words(parts: int):
+    """Words that aren't frequent, packed by shard."""
 
+    def flush(held: list) -> pa.RecordBatch:
+        w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(w)
+        w, c = w[order], c[order]
+        order, cuts = _by_shard(shard_of(w, parts), parts)
+        w, c = w[order], c[order]
+        return _model([(s, RARE, pack(np.diff(w[i:j], prepend=_U(0)), c[i:j].astype(_U)), None) for s, i, j in cuts]).to_batches()[0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append((batch["w"].to_numpy().view(_U), batch["c"].to_numpy()))
+                size += len(batch)
+            if size >= HELD:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
-def _answer(model):
-    """Per shard: looks the keys up among the shard's counts and gives each task's sums by document."""
+    return work
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, tuple] = {}
-        asked: list[tuple] = []
-        for batch in batches:
-            for s, t, a, b in zip(batch["shard"].to_pylist(), batch["t"].to_pylist(), batch["a"], batch["b"], strict=True):
-                if t is None:
-                    counts[s] = (ungaps(a.as_buffer()), unplanes(b.as_buffer()).astype(np.int64))
-                else:
-                    asked.append((s, t, a.as_py(), b.as_py()))
-        none = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        for s, t, a, b in asked:
-            key, doc = ungaps(a), unplanes(b)
-            seen, c = counts.get(s, none)
-            count = np.zeros(len(key), np.int64)
-            if len(seen):
-                i = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
-                count = np.where(seen[i] == key, c[i], 0)
-            docs, inv = np.unique(doc, return_inverse=True)
-            yield _batch([[s, t, None, docs.astype("<u4").tobytes(), np.bincount(inv, model.value.log_p(key, count)).tobytes()]])
+
+def train(documents: DataFrame, least: int = LEAST, hot: int = HOT, spread: int = SPREAD) -> Model:
+    """Counts all of documents."""
+    spark, texts, parts = documents.sparkSession, documents.select("text"), shards(documents.sparkSession)
+    words = table(texts.mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "katz-words")
+    end = int(BOUNDARY.view(np.int64))
+    # `hot` bounds what comes to the driver; the boundary is always there.
+    top = words.orderBy(F.col("w") != end, F.desc("c"), "w").limit(max(1, min(hot, HOT))).toArrow()
+    every = float((words.agg(F.sum("c")).first()[0] or 0) + 1)
+    prints, counts = top["w"].to_numpy().view(_U), top["c"].to_numpy()
+    if not len(prints):
+        prints, counts = np.array([BOUNDARY]), np.ones(1, np.int64)
+    order = np.argsort(prints)
+    prints, counts = prints[order], counts[order]
+    known = spark.sparkContext.broadcast(Words(prints, counts, np.where(counts > spread, np.minimum(-(-counts // spread), parts), 0), every))
+    shipped = texts.mapInArrow(_ship(known, parts, False), _SHIPPED).select("shard", "kind", "a")
+    counted = table(shipped.groupBy("shard").applyInArrow(_add_up(known, least), _COUNTS), "katz-counts")
+    d = []
+    for name in ("tally2", "tally3"):
+        tally = np.zeros(LARGE + 1)
+        for r in counted.select(F.posexplode(name).alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
+            tally[r.r] = r.n
+        d.append(discounts(tally))
+    plain = counted.filter(F.col("kind") == TOKENS)
+    wanted = plain.select("shard", "bigrams").mapInArrow(_wanted, "shard int, w long").join(words.withColumnRenamed("c", "k"), "w")
+    right = wanted.select("shard", F.lit(None).cast("long").alias("v"), "w", F.lit(None).cast("long").alias("c"), "k")
+    weights: dict[int, tuple[int, float]] = {}
+    many = np.flatnonzero(known.value.spread)
+    if len(many):
+        pairs = counted.filter(F.col("kind") == PAIRS).select("bigrams").mapInArrow(_pairs(known), "v long, w long, c long, known long")
+        found = pairs.filter("known IS NULL").drop("known").join(words.withColumnRenamed("c", "k"), "w").select("v", "w", "c", "k")
+        pairs = table(pairs.filter("known IS NOT NULL").select("v", "w", "c", F.col("known").alias("k")).unionByName(found), "katz-pairs")
+        factor = F.element_at(F.array(*[F.lit(float(x)) for x in d[0]]), F.least("c", F.lit(LARGE + 1)).cast("int") + 1)
+        # One row per spread word, of which there are at most `hot`.
+        sums = {r.v: r for r in pairs.groupBy("v").agg(F.sum(factor * F.col("c")).alias("seen"), F.sum("k").alias("mass")).collect()}
+        for x in many.tolist():
+            n = int(known.value.counts[x])
+            seen, mass = (sums[x].seen, sums[x].mass) if x in sums else (0.0, 0.0)
+            n += seen / n > 1 - 1e-9  # as in _shares
+            weights[x] = (n, float(_weights(np.array(seen / n), np.array(mass / every))))
+        base, size = shard_of(many.astype(_U), parts), known.value.spread[many]
+        where = spark.createDataFrame([(int(x), (int(b) + i) % parts) for x, b, m in zip(many, base, size, strict=True) for i in range(int(m))], "v long, shard int")
+        right = right.unionByName(pairs.join(where, "v").select("shard", "v", "w", "c", "k"))
+    finished = plain.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_finish(known, *d, weights), "shard int, kind int, a binary, b binary")
+    rare = words.join(F.broadcast(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "w long")), "w", "left_anti")  # `hot` bounds it
+    packed = rare.mapInArrow(_packed_words(parts), "shard int, kind int, a binary, b binary")
+    model = table(finished.unionByName(packed), "katz-model")
+    drop(counted, *([pairs] if len(many) else []))
+    return Model(words, model, known, parts, [words, model])
+
+
+# --- Scoring ------------------------------------------------------------------------------------------------
+
+_ANSWER = "t long, first int, ids array<long>, a binary, b binary"
+
+
+def _answer(known):
+    """One shard: the sums of each list by document; documents pass."""
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, out = known.value, []
+        shard = left["shard"][0].as_py() if len(left) else 0
+        if shard < 0:
+            out = [(t, 0, ids, a, None) for t, ids, a in zip(left["t"].to_pylist(), left["ids"].to_pylist(), left["a"].to_pylist(), strict=True)]
+        elif len(left):
+            kinds = left["kind"].to_numpy()
+            order = np.argsort(left["t"].to_numpy(), kind="stable")
+            model = [right.slice(i, 1).to_pylist()[0] for i in range(len(right))]
+            plain = next((r for r in model if r["kind"] == TOKENS), {"a": None, "b": None})
+            known_shard = Shard(words, plain["a"], plain["b"])
+            for i in order[kinds[order] == TOKENS].tolist():
+                v, w, u, n, doc = _tokens(left["a"][i].as_py())
+                out.append(_sums(left["t"][i].as_py(), doc, np.repeat(known_shard.log_p(u, v, w), n)))
+            parts = [unpack(r["a"], "<u8", "<u8") for r in model if r["kind"] == RARE]
+            counts = _Values(*(np.concatenate(x) for x in zip(*[(np.cumsum(w, dtype=_U), c.astype(float)) for w, c in parts], strict=True))) if parts else _Values(np.zeros(0, _U), np.zeros(0))
+            for i in order[kinds[order] == RARE].tolist():
+                gap, doc = unpack(left["a"][i].as_py(), "<u8", "<u4")
+                out.append(_sums(left["t"][i].as_py(), doc, np.log(np.maximum(counts(np.cumsum(gap, dtype=_U))[1], 1.0) / words.every)))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["t", "first", "ids", "a", "b"])
 
     return answer
 
 
+def _sums(t: int, doc: np.ndarray, value: np.ndarray) -> tuple:
+    docs, inv = np.unique(doc, return_inverse=True)
+    return t, 1, None, pack(docs.astype("<u4")), np.bincount(inv, value).astype("<f8").tobytes()
+
+
 def _collect(rows: pa.Table) -> pa.Table:
-    """All answers to one task."""
-    at = next(i for i, s in enumerate(rows["shard"].to_pylist()) if s == -1)
-    ids = rows["ids"][at].as_py()
-    total = np.frombuffer(rows["b"][at].as_py()).copy()
-    n = np.frombuffer(rows["a"][at].as_py(), np.int64)
-    order = np.argsort(rows["shard"].to_numpy(), kind="stable")  # sums in one order give one result
-    for i in order[1:].tolist():
-        total[np.frombuffer(rows["a"][i].as_py(), "<u4")] += np.frombuffer(rows["b"][i].as_py())
-    return pa.table([pa.array(ids, pa.int64()), pa.array(n), pa.array(total), pa.array(np.exp(np.minimum(-total / (n + 1), 700)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
+    """All answers to one list of documents."""
+    first = rows["first"].to_numpy()
+    at = int(np.flatnonzero(first == 0)[0])
+    n = np.frombuffer(rows["a"][at].as_py(), "<i8")
+    parts = sorted((rows["a"][i].as_py(), rows["b"][i].as_py()) for i in np.flatnonzero(first).tolist())  # sums in one order give one result
+    total = np.zeros(len(n))
+    for a, b in parts:
+        total[unpack(a, "<u4")[0]] += np.frombuffer(b, "<f8")
+    return pa.table([pa.array(rows["ids"][at].as_py(), pa.int64()), pa.array(n), pa.array(total), pa.array(np.exp(np.minimum(-total / (n + 1), 700)))], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural, with the end of the text) and perplexity for every row of documents."""
-    spark = documents.sparkSession
-    light = Model(model.unigrams, model.discount, model.norm, model.alpha, None, model.parts, model.hot)
-    known = spark.sparkContext.broadcast(light)
-    schema = "shard int, t long, ids array<long>, a binary, b binary"
-    asked = table(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_request(known, model.parts), schema), "katz-requests")
-    counts = model.bigrams.selectExpr("shard", "CAST(NULL AS LONG) t", "CAST(NULL AS ARRAY<LONG>) ids", "keys a", "counts b")
-    answers = asked.filter("shard >= 0").unionByName(counts).repartition(model.parts, "shard").mapInArrow(_answer(known), schema)
-    return asked.filter("shard = -1").unionByName(answers).groupBy("t").applyInArrow(_collect, "doc_id long, n_tokens long, log_prob double, perplexity double")
+    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ship(model.known, model.parts, True), _SHIPPED).drop("b")
+    answers = asked.groupBy("shard").cogroup(model.shards.groupBy("shard")).applyInArrow(_answer(model.known), _ANSWER)
+    return answers.groupBy("t").applyInArrow(_collect, "doc_id long, n_tokens long, log_prob double, perplexity double")
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return score(documents, train(documents))
