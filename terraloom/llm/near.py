@@ -4,29 +4,36 @@ A document is its sequence of white-space words, ASCII letters in lower case.
 Its k-mers (``K`` words) carry their occurrence number, so repeats count. Each
 of ``SKETCHES`` hash functions picks the ``PICKED`` least k-mers, which are kept
 in text order: two documents agree in a sketch if they hold the same k-mers in
-the same order, which follows edit similarity. The k-mers of a sketch are taken
-at least ``GAP`` words apart (a third of the text, if less), so a passage that
-many documents share doesn't bring them together by itself. Texts of ``MIDDLE``
-words get as many sketches again, since the share of k-mers that edits leave
-varies more there. Texts of up to ``SHORT`` words, where one edit touches most
-k-mers, get ``SHORT_SKETCHES`` more, of ``SHORT_PICKED`` single words.
+the same order, which follows edit similarity. Texts of ``MIDDLE`` words get as
+many sketches again, since the share of k-mers that edits leave varies more
+there. Texts of up to ``SHORT`` words, where one edit touches most k-mers, get
+``SHORT_SKETCHES`` more, of ``SHORT_PICKED`` single words.
 
 Documents with equal words are one node. Nodes that agree in a sketch share a
 bucket. Verification is complete but avoids what it can: first each node
 against the bucket leader it meets in most sketches; after the components of
-those pairs, all remaining pairs of a bucket across components. A pair counts
+those pairs, all remaining pairs of a bucket across components. For these the
+words of a bucket's members come together once, not once per pair, and pairs
+are ruled out by length and by counts of common words before they are aligned;
+neither test loses a pair. A bucket of more than ``BLOCK`` members, as a passage
+shared by many documents makes, is worked off by pairs of blocks. A pair counts
 if 1 - edit distance / longer length is at least ``SIMILAR``, by alignment of
 words in a band of the edits allowed. Groups are the connected components.
 
 Edge cases: null and empty texts hold no words and are in no group; rows with a
-null doc_id are in no group and stay; repeated rows (equal ids) count as one
-document, of which ``keep_one`` keeps one row, by the least hash of its text;
-ties go to the lower doc_id, which represents its group; texts shorter than K words match equal ones
-and, by their single words, similar ones; other columns are passed on.
+null doc_id are in no group and stay; repeated rows (equal ids and words) count
+as one document, of which ``keep_one`` keeps one row, by the least hash; rows of
+one id with different words are judged each by its own words; ties go to the
+lower doc_id, which represents its group; texts shorter than K words match equal
+ones and, by their single words, similar ones; very long texts are sketched and
+aligned whole; an empty table gives no groups; other columns are passed on,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraloom.llm.align import similar
-from terraloom.llm.common import read, small, table
+from terraloom.llm.common import drop, read, shards, small, table
 from terraloom.operators.graph import components
 from terraloom.llm.tokens import chunks, mix, row_of, window_hashes, word_bounds, word_hashes
 
-K, PICKED, SKETCHES, SHORT, SHORT_SKETCHES, SHORT_PICKED, SIMILAR, GAP = 3, 2, 80, 24, 32, 3, 0.7, 120
+K, PICKED, SKETCHES, SHORT, SHORT_SKETCHES, SHORT_PICKED, SIMILAR, BLOCK = 3, 2, 80, 24, 32, 3, 0.7, 2048
 #: From SIMILAR * SHORT words on, so that both texts of a pair have the same kinds of sketches.
 MIDDLE = (17, 100)
 _U, _MAX = np.uint64, np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -65,13 +72,13 @@ def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(h + number * _U(0x9E3779B97F4A7C15))
 
 
-def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray, seed: int = 0, gap: int = 0) -> None:
+def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray, seed: int = 0) -> None:
     """Sketches of the k-mers h (occurrences labelled) of consecutive rows, written to out (a row each, a column per sketch)."""
     if not len(h):
         return
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(first, len(h)))
-    place, near = np.arange(len(h)), np.repeat(np.minimum(gap, (size + K - 1) // 3), size)
+    owner = np.repeat(np.arange(len(first)), size)
     for j in range(out.shape[1]):
         a, b = _SEEDS[(j + seed) % len(_SEEDS)]
         x = (h ^ a) * b
@@ -79,14 +86,11 @@ def order_minhash(h: np.ndarray, row: np.ndarray, picked: int, out: np.ndarray,
         places = []
         for k in range(picked):
             least = np.minimum.reduceat(x, first)
-            at = np.flatnonzero(x == np.repeat(least, size))
+            at = np.flatnonzero(x == least[owner])
             at = at[np.searchsorted(at, first)]  # the first, should two be equal
             places.append(at)
-            if k == picked - 1:
-                break
-            if gap:
-                x[np.abs(place - np.repeat(at, size)) < near] = _MAX
-            x[at] = _MAX
+            if k < picked - 1:
+                x[at] = _MAX
         value = np.full(len(first), _U(j + seed))
         for at in np.sort(np.stack(places), axis=0):
             value = mix(value * _U(0x9E3779B97F4A7C15) + h[at])
@@ -115,11 +119,11 @@ def sketch(text: pa.Array) -> pa.Array:
         ok = row[: len(kmers)] == row[K - 1 :] if len(kmers) else np.zeros(0, bool)
         sk = np.zeros((n, 2 * SKETCHES + SHORT_SKETCHES), np.int64)
         r = row[: len(kmers)][ok]
-        order_minhash(labelled(kmers[ok], r), r, PICKED, sk[:, :SKETCHES], gap=GAP)
+        order_minhash(labelled(kmers[ok], r), r, PICKED, sk[:, :SKETCHES])
         middle = (count >= MIDDLE[0]) & (count <= MIDDLE[1])
         more = ok & middle[row[: len(kmers)]]
         r = row[: len(kmers)][more]
-        order_minhash(labelled(kmers[more], r), r, PICKED, sk[:, SKETCHES : 2 * SKETCHES], SKETCHES, GAP)
+        order_minhash(labelled(kmers[more], r), r, PICKED, sk[:, SKETCHES : 2 * SKETCHES], SKETCHES)
         short = count[row] <= SHORT
         order_minhash(labelled(h[short], row[short]), row[short], SHORT_PICKED, sk[:, 2 * SKETCHES :], 2 * SKETCHES)
         use = np.repeat(np.stack([count >= K, middle, (count <= SHORT) & (count > 0)], axis=1), [SKETCHES, SKETCHES, SHORT_SKETCHES], axis=1)
@@ -153,36 +157,109 @@ def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     return table(pairs.join(left, "a").join(right, "b").select("a", "b", s.alias("similarity")).filter(f"similarity >= {SIMILAR}").select("a", "b"), "near-edges")
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """doc_id, group_id (least doc_id of the group), group_size, for the documents of groups of two or more."""
-    ids = documents.select(F.col("doc_id").cast("long").alias("d"), F.arrow_udf(sketch, _SKETCH).asNondeterministic()("text").alias("k")).filter("d IS NOT NULL AND k.v IS NOT NULL")
-    docs = table(ids.select("d", "k.*"), "near-sketches")
+def _bags(codes: list[np.ndarray], width: int) -> np.ndarray:
+    """Word counts of each text in `width` cells: what two texts have in common here is at least what they have in words."""
+    size = np.array([len(c) for c in codes])
+    cell = (np.concatenate(codes).astype(_U) * _U(0x9E3779B97F4A7C15) >> _U(40)).astype(np.int64) % width
+    return np.bincount(np.repeat(np.arange(len(codes)), size) * width + cell, minlength=len(codes) * width).reshape(len(codes), width).astype(np.int32)
+
+
+def pairs_of(v: np.ndarray, n: np.ndarray, label: np.ndarray, codes: list[np.ndarray], block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (a, b) among texts of a bucket, enough to join every two similar ones whose labels differ; with block, only across its two values."""
+    order = np.lexsort((v, n))
+    v, n, codes = v[order], n[order], [codes[i] for i in order.tolist()]
+    block = block[order] if block is not None else None
+    _, number = np.unique(label[order], return_inverse=True)
+    bags = _bags(codes, 256 if n[-1] <= 1000 else 1024) if len(v) > 8 else None
+    edges = []
+    for x in range(len(v) - 1):
+        hi = int(np.searchsorted(n, n[x] / SIMILAR + 1e-6, "right"))
+        rest = np.arange(x + 1, hi)
+        rest = rest[number[rest] != number[x]]
+        if block is not None:
+            rest = rest[block[rest] != block[x]]
+        if bags is not None and len(rest):
+            rest = rest[np.minimum(bags[rest], bags[x]).sum(axis=1) >= n[rest] - np.floor((1 - SIMILAR) * n[rest] + 1e-9)]
+        for y in rest.tolist():
+            if number[x] != number[y] and similar(codes[x], codes[y], SIMILAR) >= SIMILAR:
+                edges.append((min(int(v[x]), int(v[y])), max(int(v[x]), int(v[y]))))
+                number[number == number[y]] = number[x]
+    return edges
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the buckets of a partition, whose rows come bucket by bucket."""
+    held: list[pa.RecordBatch] = []
+
+    def work(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(rows)
+        codes = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["w"]]
+        block = t["k"].to_numpy() if t["lo"][0].as_py() != t["hi"][0].as_py() else None
+        return pairs_of(t["v"].to_numpy(), t["n"].to_numpy(), t["c"].to_numpy(), codes, block)
+
+    def made(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        key = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("i", "lo", "hi")])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        edges = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if lo == hi:
+                continue
+            now = tuple(key[:, lo].tolist())
+            if held and now != last:
+                edges += work(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+        yield made(edges)
+    if held:
+        yield made(work(held))
+
+
+def nodes_of(documents: DataFrame) -> DataFrame:
+    """(d, v, w, n, s): doc_id, two fingerprints of the words, their number and the sketches, for rows with an id and words."""
+    ids = documents.select(F.col("doc_id").cast("long").alias("d"), F.arrow_udf(sketch, _SKETCH).asNondeterministic()("text").alias("k"))
+    return ids.filter("d IS NOT NULL AND k.v IS NOT NULL").select("d", "k.*")
+
+
+def labelled_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(d, v, w, n) of the documents, and the group label c of each (v, w, n)."""
+    docs = table(nodes_of(documents), "near-sketches")
     nodes = table(docs.groupBy("v", "w", "n").agg(F.min("d").alias("d"), F.min_by("s", "d").alias("s")), "near-nodes")
+    sketched, docs = docs, table(docs.select("d", "v", "w", "n").distinct(), "near-documents")
+    drop(sketched)
     rows = nodes.select("v", F.explode("s").alias("k")).groupBy("k").agg(F.array_sort(F.collect_set("v")).alias("vs")).filter("size(vs) > 1")
-    buckets = table(rows.groupBy("vs").agg(F.count("*").alias("votes")), "near-buckets")
+    # Buckets of the same members are one; i names it.
+    buckets = table(rows.groupBy("vs").agg(F.count("*").alias("votes")).withColumn("i", F.monotonically_increasing_id()), "near-buckets")
     # Each node against the leader that it meets most often.
     met = buckets.select(F.col("vs")[0].alias("a"), F.explode(F.expr("slice(vs, 2, size(vs) - 1)")).alias("b"), "votes").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     first = table(met.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b"), "near-pairs")
     members = table(buckets.select(F.explode("vs").alias("v")).distinct(), "near-members")
-    sizes = nodes.join(members, "v", "left_semi").select("v", "d", "n")
-    wanted = sizes.select("v", "d")
-    wanted = small(wanted, members.count(), 16)
+    wanted = small(nodes.join(members, "v", "left_semi").select("v", "d"), members.count(), 16)
     own = F.arrow_udf(sketch_id, "long").asNondeterministic()("text")
     codes = documents.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d").select("v", own.alias("o"), F.arrow_udf(word_codes, "binary").asNondeterministic()("text").alias("c")).filter("v = o")
     codes = table(codes.select("v", "c"), "near-codes")
     edges = _verified(first, codes)
     labels = components(edges)
     # Then all pairs of a bucket that are in different components still.
-    labelled_ = buckets.select(F.monotonically_increasing_id().alias("i"), "vs")
-    labelled_ = table(labelled_, "near-buckets")
-    marked = labelled_.select("i", F.explode("vs").alias("v")).join(sizes.select("v", "n"), "v").join(labels, "v", "left").select("i", "v", "n", F.coalesce("c", "v").alias("c"))
-    mixed = marked.groupBy("i").agg(F.collect_list(F.struct("c", "v", "n")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("m")
-    # Texts whose lengths differ too much can't be similar.
-    pairs = mixed.select("m", F.explode("m").alias("x")).select("x", F.explode(F.expr(f"filter(m, y -> y.v > x.v AND y.c <> x.c AND least(x.n, y.n) >= {SIMILAR} * greatest(x.n, y.n) - 1e-6)")).alias("y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
-    pairs = table(pairs.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    edges = edges.unionByName(_verified(pairs, codes))
-    labels = table(components(edges).join(nodes.select("v", "w", "n"), "v", "right").select("v", "w", "n", F.coalesce("c", "v").alias("c")), "near-labels")
-    grouped = docs.select("d", "v", "w", "n").distinct().join(labels, ["v", "w", "n"]).groupBy("c").agg(F.collect_set("d").alias("ds")).filter("size(ds) > 1")
+    marked = buckets.select("i", F.explode("vs").alias("v")).join(labels, "v", "left").select("i", "v", F.coalesce("c", "v").alias("c"))
+    unlike = marked.groupBy("i").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("i", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    held = marked.join(unlike, "i").withColumn("k", F.pmod(F.xxhash64("v"), "g").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    held = held.select("i", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), "k", "v", "c").join(codes.select("v", F.expr("length(c) div 4").alias("n"), F.col("c").alias("w")), "v")
+    more = held.repartition(shards(documents.sparkSession), "i", "lo", "hi").sortWithinPartitions("i", "lo", "hi").select("i", "lo", "hi", "k", "v", "n", "c", "w").mapInArrow(_within, "a long, b long")
+    edges_ = edges.unionByName(table(more.distinct(), "near-edges"))
+    labels = table(components(edges_).join(nodes.select("v", "w", "n"), "v", "right").select("v", "w", "n", F.coalesce("c", "v").alias("c")), "near-labels")
+    drop(nodes, buckets, first, members, codes)
+    return docs, labels
+
+
+def groups(documents: DataFrame) -> DataFrame:
+    """doc_id, group_id (least doc_id of the group), group_size, for the documents of groups of two or more."""
+    docs, labels = labelled_rows(documents)
+    grouped = docs.join(labels, ["v", "w", "n"]).groupBy("c").agg(F.collect_set("d").alias("ds")).filter("size(ds) > 1")
     return grouped.select(F.explode("ds").alias("doc_id"), F.array_min("ds").alias("group_id"), F.size("ds").alias("group_size"))
 
 
@@ -196,20 +273,26 @@ def sketch_id(text: pa.Array) -> pa.Array:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of documents without all but one document of each group."""
-    gone = table(groups(documents).filter("doc_id <> group_id").select("doc_id").distinct(), "near-gone")
-    gone = small(gone.withColumnRenamed("doc_id", "__near_d"), gone.count(), 16)
-    kept = documents.join(gone, F.col("doc_id") == F.col("__near_d"), "left_anti")
-    again = table(documents.groupBy(F.col("doc_id").alias("__near_d")).agg(F.count("*").alias("__near_n")).filter("__near_d IS NOT NULL AND __near_n > 1"), "near-repeated")
-    repeated = again.count()
+    """The rows of documents without all but one of each group: the row with the least (doc_id, fingerprints of its words, hash of its text)."""
+    docs, labels = labelled_rows(documents)
+    best = F.min(F.struct("d", "v", "w", "n"))
+    whole = docs.join(labels, ["v", "w", "n"])
+    kept = whole.groupBy("c").agg(best.alias("k"), F.count("*").alias("m")).filter("m > 1")
+    gone = table(whole.join(kept, "c").filter("d <> k.d OR v <> k.v OR w <> k.w OR n <> k.n").select(F.col("d").alias("__near_d"), F.col("v").alias("__near_v")), "near-gone")
+    # Rows of ids that come once need no look at their words.
+    often = table(documents.groupBy(F.col("doc_id").cast("long").alias("__near_d")).agg(F.count("*").alias("__near_n")).filter("__near_d IS NOT NULL AND __near_n > 1").select("__near_d"), "near-repeated")
+    n, repeated = gone.count(), often.count()
+    id_ = F.col("doc_id").cast("long") == F.col("__near_d")
     if not repeated:
-        return kept
-    # Rows that share an id: one of them stays.
-    again = small(again, repeated, 24)
-    rest = kept.join(again, F.col("doc_id") == F.col("__near_d"), "left_anti")
-    twice = kept.join(again, F.col("doc_id") == F.col("__near_d"), "left_semi")
-    twice = twice.withColumn("__near_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__near_r = 1").drop("__near_r")
-    return rest.unionByName(twice)
+        return documents.join(small(gone.select("__near_d"), n, 16), id_, "left_anti")
+    often = small(often, repeated, 16)
+    once = documents.join(often, id_, "left_anti").join(small(gone.select("__near_d").distinct(), n, 16), id_, "left_anti")
+    own = F.arrow_udf(sketch_id, "long").asNondeterministic()
+    twice = documents.join(often, id_, "left_semi").withColumn("__near_o", own("text"))
+    twice = twice.join(gone, id_ & (F.col("__near_o") == F.col("__near_v")), "left_anti")
+    # Of rows with one id and equal words, or without any, one stays.
+    twice = twice.withColumn("__near_r", F.row_number().over(W.partitionBy("doc_id", "__near_o").orderBy(F.xxhash64("text")))).filter("__near_r = 1").drop("__near_r", "__near_o")
+    return once.unionByName(twice)
 
 
 def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
