@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraloom.functions import cost
-from terraloom.functions.geometry import azimuth
+from terraloom.operators import paths
 
 SEGMENT_M = 50.0
 
@@ -46,14 +46,9 @@ def at_distance(path: Column, distance: Column) -> Column:
 
 
 def segment(lines: DataFrame, key: str = "fid", coords: str = "coords", length: float = SEGMENT_M) -> DataFrame:
-    """Pieces of fixed length: chords between points along the line; chords under 1 cm go and don't count in i."""
-    path = lines.filter(F.size(coords) >= 2).withColumn("_p", with_lengths(F.col(coords)))
-    total = F.element_at("_p", -1)["along"]
-    pieces = path.withColumn("_n", F.ceil(total / length).cast("int")).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    ends = pieces.withColumn("_a", at_distance(F.col("_p"), F.col("_k") * length)).withColumn("_b", at_distance(F.col("_p"), F.least((F.col("_k") + 1) * length, total)))
-    out = ends.withColumns({"x1": F.col("_a.x"), "y1": F.col("_a.y"), "x2": F.col("_b.x"), "y2": F.col("_b.y")}).filter((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2 >= 1e-4)
-    out = out.withColumn("azimuth_deg", azimuth(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return out.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy("_k")) - 1).drop("_p", "_n", "_k", "_a", "_b")
+    """Pieces of fixed length: chords between points along the line; chords under 1 cm go and don't count in i. Nothing is shuffled."""
+    cut = F.arrow_udf(paths.segments(length), paths.SEGMENT)
+    return lines.select("*", F.explode(cut(coords)).alias("_s")).select(*[F.col(f"`{c}`") for c in lines.columns], "_s.*")
 
 
 def linear_cross(lines: DataFrame, rules: DataFrame, coords: str = "coords") -> DataFrame:

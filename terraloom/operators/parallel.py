@@ -6,30 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraloom.functions.geometry import azimuth, crossing_angle, segment_distance
-from terraloom.operators.lines import at_distance, with_lengths
+from terraloom.operators import paths
 
 STATION_M = 50.0
 
 
 def stations(pairs: DataFrame, path: str = "path", line: str = "line", length: float = STATION_M) -> DataFrame:
-    """A row per station of `path`: where it starts and ends, its distance to `line` and the angle between the two."""
-    p = pairs.withColumn("_p", with_lengths(F.col(path))).withColumn("path_m", F.element_at("_p", -1)["along"])
-    n = F.ceil(F.col("path_m") / length).cast("int")
-    s = p.filter("path_m > 0").withColumn("k", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("s", F.col("k") * length).withColumn("e", F.least((F.col("k") + 1) * length, F.col("path_m")))
-    s = s.withColumn("_m", at_distance(F.col("_p"), (F.col("s") + F.col("e")) / 2)).withColumn("_a", at_distance(F.col("_p"), F.col("s"))).withColumn("_b", at_distance(F.col("_p"), F.col("e")))
-    s = s.withColumns({"_x": F.col("_m.x"), "_y": F.col("_m.y"), "_ax": F.col("_a.x"), "_ay": F.col("_a.y"), "_bx": F.col("_b.x"), "_by": F.col("_b.y")}).drop("_p", "_m", "_a", "_b", path)
-    # The nearest leg by an exploded join of its own, which keeps each expression small.
-    legs = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size(line) - 1).alias("i"), F.slice(line, 1, F.size(line) - 1).alias("a"), F.slice(line, 2, F.size(line) - 1).alias("b")))
-    keys = [c for c in s.columns if c not in (line, "_x", "_y")]
-    e = s.withColumn("_l", legs).select(*keys, "_x", "_y", F.col("_l.i").alias("_i"), F.col("_l.a.x").alias("_x1"), F.col("_l.a.y").alias("_y1"), F.col("_l.b.x").alias("_x2"), F.col("_l.b.y").alias("_y2"))
-    d = segment_distance(*[F.col(c) for c in ("_x", "_y", "_x1", "_y1", "_x2", "_y2")])
-    near = e.withColumn("_d", d).groupBy(*keys).agg(F.min_by(F.struct("_d", "_x1", "_y1", "_x2", "_y2"), F.struct("_d", "_i")).alias("_n"))
-    near = near.select("*", *[F.col(f"_n.{c}").alias(c) for c in ("_d", "_x1", "_y1", "_x2", "_y2")])
-    own, other = (azimuth(*[F.col(c) for c in cs]) for cs in (("_ax", "_ay", "_bx", "_by"), ("_x1", "_y1", "_x2", "_y2")))
-    moved = F.hypot(F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")) > 0.1
-    out = near.withColumn("distance", F.col("_d")).withColumn("angle", F.when(moved, crossing_angle(own, other)))
-    return out.drop("_n", "_d", "_x1", "_y1", "_x2", "_y2", "_ax", "_ay", "_bx", "_by")
+    """A row per station of `path`: where it starts and ends, its distance to `line` and the angle between the two. Nothing is shuffled."""
+    measured = F.arrow_udf(paths.stations(length), paths.STATION)
+    keys = [F.col(f"`{c}`") for c in pairs.columns if c not in (path, line)]
+    return pairs.select(*keys, F.explode(measured(path, line)).alias("_s")).select(*keys, "_s.*")
 
 
 def runs(stations_: DataFrame, keys: list[str], distance_m: float, angle_deg: float, least_m: float) -> DataFrame:
