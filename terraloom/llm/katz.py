@@ -51,8 +51,10 @@ from terraloom.llm.common import drop, read, shards, table
 from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
 
 LEAST, LARGE, HOT, SPREAD = 2, 5, 65_535, 1 << 20
+#: Shards per shuffle partition; a worker holds one at a time.
+FINE = 2
 #: Tokens of a task that are held before they are shipped, and the most in one list: word numbers within a list take 21 bits.
-HELD, LIST = 3 << 19, 1 << 21
+HELD, LIST = 3 << 18, 1 << 21
 _U = np.uint64
 _RARE = _U(1) << _U(63)
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -194,6 +196,7 @@ def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, do
     """Rows of one list of tokens: (v, w, u) by shard, with documents if there are any; else also the bigrams of spread words."""
     lo = int(at[0]) - 2
     own, number = np.unique(seq[lo : int(at[-1]) + 1], return_inverse=True)
+    number = number.astype(np.int32)
     code, at = words.codes(own), at - lo
     base, many = shard_of(code, parts), words.spread_of(code)
     v, u = number[at - 1], number[at - 2]
@@ -204,7 +207,7 @@ def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, do
         order = np.argsort(key)
         key, doc = key[order], doc[order]
     mask = _U((1 << 21) - 1)
-    v, w, u = ((key >> _U(s) & mask).astype(np.int64) for s in (42, 21, 0))
+    v, w, u = ((key >> _U(s) & mask).astype(np.int32) for s in (42, 21, 0))
     m = many[v]
     shard = np.where(m > 0, (base[v] + (mix(code[u]) % np.maximum(m, 1).astype(_U)).astype(np.int64)) % parts, base[v])
     rows = []
@@ -523,7 +526,7 @@ def _packed_words(parts: int):
 
 def train(documents: DataFrame, least: int = LEAST, hot: int = HOT, spread: int = SPREAD) -> Model:
     """Counts all of documents."""
-    spark, texts, parts = documents.sparkSession, documents.select("text"), shards(documents.sparkSession)
+    spark, texts, parts = documents.sparkSession, documents.select("text"), FINE * shards(documents.sparkSession)
     words = table(texts.mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "katz-words")
     end = int(BOUNDARY.view(np.int64))
     # `hot` bounds what comes to the driver; the boundary is always there.
