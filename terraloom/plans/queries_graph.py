@@ -381,8 +381,3 @@ def _(c):
 
     j = c.poly.filter("variant = 'reward'").join(F.broadcast(c.rules), "rule_id").filter("reward > 0").withColumn("voltage_kv", cost.voltage_kv(F.col("level2")))
     return j.select("fid", "rule_id", F.col("reward").alias("parallel_reward"), cost.parallel_range().alias("parallel_range_m"), "voltage_kv", (F.col("voltage_kv") >= 800).alias("excluded"))
-
-
-@query("river_azimuth", "SELECT fid, CASE WHEN xmax - xmin >= ymax - ymin THEN 90e0 ELSE 0e0 END AS azimuth FROM v_poly", P)
-def _(c):
-    return c.poly.select("fid", F.when(F.col("xmax") - F.col("xmin") >= F.col("ymax") - F.col("ymin"), 90.0).otherwise(0.0).alias("azimuth"))

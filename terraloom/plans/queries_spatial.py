@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.geometry import clipped_length, rectangle_ring, segment_distance
 from terraloom.operators import grid as G
-from terraloom.operators import route, spatial
+from terraloom.operators import polygons, route, spatial
 from terraloom.plans.registry import query
 
 P, RP = ("poly",), ("rules", "poly")
@@ -34,14 +34,15 @@ u AS (SELECT xi.fid, sum((xn - x) * (yn - y)) AS area FROM xi JOIN yi ON yi.fid
 
 @query("eco_overlap", f"WITH {_UNION} SELECT u.fid, round(u.area, 4) AS area, round(least(1, u.area / ((p.xmax - p.xmin) * (p.ymax - p.ymin))), 4) AS ratio FROM u JOIN v_poly p ON p.fid = u.fid", P)
 def _(c):
-    eco = c.poly.filter("rule_id <= 18 AND variant <> 'reward'")
-    return spatial.coverage(c.poly.filter("variant = 'reward'"), eco, BIN).select("fid", F.round("area", 4).alias("area"), F.round("ratio", 4).alias("ratio"))
+    boxes = c.poly.withColumn("rings", F.array(rectangle_ring(*[F.col(x) for x in BOX])))
+    return polygons.coverage(boxes.filter("variant = 'reward'"), boxes.filter("rule_id <= 18 AND variant <> 'reward'"), BIN).select("fid", F.round("area", 4).alias("area"), F.round("ratio", 4).alias("ratio"))
 
 
 @query("geom_union_area", """WITH q AS (SELECT * FROM v_poly WHERE variant = 'protection'), xs AS (SELECT DISTINCT rule_id, xmin AS x FROM q UNION SELECT rule_id, xmax FROM q), ys AS (SELECT DISTINCT rule_id, ymin AS y FROM q UNION SELECT rule_id, ymax FROM q), xi AS (SELECT rule_id, x, lead(x) OVER (PARTITION BY rule_id ORDER BY x) AS xn FROM xs), yi AS (SELECT rule_id, y, lead(y) OVER (PARTITION BY rule_id ORDER BY y) AS yn FROM ys)
 SELECT xi.rule_id, round(sum((xn - x) * (yn - y)), 2) AS area FROM xi JOIN yi ON yi.rule_id = xi.rule_id WHERE xn IS NOT NULL AND yn IS NOT NULL AND EXISTS (SELECT 1 FROM q WHERE q.rule_id = xi.rule_id AND q.xmin <= x AND q.xmax >= xn AND q.ymin <= y AND q.ymax >= yn) GROUP BY xi.rule_id""", P)
 def _(c):
-    return spatial.union_area(c.poly.filter("variant = 'protection'"), "rule_id").select("rule_id", F.round("area", 2).alias("area"))
+    boxes = c.poly.filter("variant = 'protection'").select("rule_id", F.array(rectangle_ring(*[F.col(x) for x in BOX])).alias("rings"))
+    return polygons.union_area(boxes, "rule_id", BIN).select("rule_id", F.round("area", 2).alias("area"))
 
 
 @query("range_self_join", "SELECT a.fid AS a, b.fid AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS d FROM v_point a JOIN v_point b ON a.fid < b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 490000", ("point",))
