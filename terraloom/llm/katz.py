@@ -23,7 +23,7 @@ the recursion of a token need one shard only. Words counted more than ``spread``
 times have several shards, by u; their bigrams are counted in shards of their
 own, and seen ones are copied to the shards of v. What travels is a sorted list
 of (v, w, u) per task and shard, packed; words among the ``HOT`` most frequent
-travel as 16-bit numbers, others as 63-bit fingerprints, which changes no
+travel as numbers of 20 bits, others as 63-bit fingerprints, which changes no
 result. Log P1 of a word beyond those is added in the word's own shard.
 
 The model is a table of packed seen n-grams and backoff weights by shard, and a
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import drop, read, shards, table
 from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
 
-LEAST, LARGE, HOT, SPREAD = 2, 5, 65_535, 1 << 20
+LEAST, LARGE, HOT, SPREAD = 2, 5, (1 << 20) - 1, 1 << 20
 #: Shards per shuffle partition; a worker holds one at a time.
 FINE = 2
 #: Tokens of a task that are held before they are shipped, and the most in one list: word numbers within a list take 21 bits.
@@ -88,9 +88,15 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes as 16-bit numbers, HOT for an escape, and the escaped fingerprints."""
+    """Codes as numbers of up to 20 bits, HOT for an escape, and the escaped fingerprints."""
     rare = codes >= _RARE
-    return np.where(rare, _U(HOT), codes).astype(np.uint16), codes[rare]
+    return np.where(rare, _U(HOT), codes).astype(np.uint32), codes[rare]
+
+
+def valued(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as an index into their distinct values."""
+    values, i = np.unique(x, return_inverse=True)
+    return values, i.astype(np.uint32)
 
 
 def joined(small: np.ndarray, rare: np.ndarray) -> np.ndarray:
@@ -177,7 +183,7 @@ def _counted(held: list) -> pa.RecordBatch:
 
 _SHIPPED = "shard int, kind int, t long, ids array<long>, a binary, b binary"
 TOKENS, PAIRS, RARE = 0, 1, 2
-_TOKEN_KINDS = ("<u2", "<u8", "<u4", "<u2", "<u8", "<u4", "<u2", "<u8", "<u4", "<u4")
+_TOKEN_KINDS = ("<u4", "<u8", "<u4", "<u4", "<u8", "<u4", "<u4", "<u8", "<u4", "<u4")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -235,9 +241,9 @@ def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, do
 
 def _tokens(blob: bytes) -> tuple[np.ndarray, ...]:
     """(v, w, u, occurrences, documents) of a packed list, documents by occurrence."""
-    v16, vx, nv, w16, wx, nw, u16, ux, nu, doc = unpack(blob, *_TOKEN_KINDS)
-    w, v = joined(w16, wx), np.repeat(joined(v16, vx), nv)
-    return np.repeat(v, nw), np.repeat(w, nw), joined(u16, ux), nu, doc
+    vs, vx, nv, ws, wx, nw, us, ux, nu, doc = unpack(blob, *_TOKEN_KINDS)
+    w, v = joined(ws, wx), np.repeat(joined(vs, vx), nv)
+    return np.repeat(v, nw), np.repeat(w, nw), joined(us, ux), nu, doc
 
 
 def _ship(known, parts: int, scored: bool):
@@ -288,7 +294,7 @@ def _ship(known, parts: int, scored: bool):
 # --- Counting -----------------------------------------------------------------------------------------------
 
 _COUNTS = "shard int, kind int, tally2 array<long>, tally3 array<long>, bigrams binary, trigrams binary"
-_BIGRAM, _TRIGRAM = ("<u2", "<u8", "<u2", "<u8", "<u8", "<u8"), ("<u2", "<u8", "<u2", "<u8", "<u2", "<u8", "<u8", "<u8")
+_BIGRAM, _TRIGRAM = ("<u4", "<u8", "<u4", "<u8", "<u8", "<u8"), ("<u4", "<u8", "<u4", "<u8", "<u4", "<u8", "<u8", "<u8")
 
 
 def _added(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,16 +319,18 @@ def _add_up(known, least: int):
             at, _, c3 = _added(key2(key2(u, v), w), c)
             u, v, w = u[at], v[at], w[at]
             _, inv, n = _added(key2(u, v), c3)
-            seen = c3 >= least
+            seen = np.flatnonzero(c3 >= least)
+            seen = seen[np.lexsort((u[seen], w[seen], v[seen]))]  # in order they pack well
             trigrams = pack(*split(u[seen]), *split(v[seen]), *split(w[seen]), c3[seen].astype(_U), n[inv][seen].astype(_U))
             one = known.value.spread_of(v) == 0
             v, w, c2 = v[one], w[one], c3[one]
             at, _, c2 = _added(key2(v, w), c2)
             v, w = v[at], w[at]
             _, inv, n = _added(v, c2)
-            seen = c2 >= least
+            seen = np.flatnonzero(c2 >= least)
+            seen = seen[np.lexsort((w[seen], v[seen]))]
             out.append((shard, TOKENS, _tally(c2), _tally(c3), pack(*split(v[seen]), *split(w[seen]), c2[seen].astype(_U), n[inv][seen].astype(_U)), trigrams))
-        pairs = [unpack(blobs[i].as_py(), "<u2", "<u8", "<u2", "<u8", "<u4") for i in np.flatnonzero(kind == PAIRS).tolist()]
+        pairs = [unpack(blobs[i].as_py(), "<u4", "<u8", "<u4", "<u8", "<u4") for i in np.flatnonzero(kind == PAIRS).tolist()]
         if pairs:
             v, w, c = (np.concatenate(x) for x in zip(*[(joined(a, b), joined(d, e), n) for a, b, d, e, n in pairs], strict=True))
             at, _, c2 = _added(key2(v, w), c)
@@ -335,8 +343,8 @@ def _add_up(known, least: int):
 
 
 def _bigrams(blob: bytes) -> tuple[np.ndarray, ...]:
-    v16, vx, w16, wx, c, n = unpack(blob, *_BIGRAM)
-    return joined(v16, vx), joined(w16, wx), c.astype(np.int64), n.astype(np.int64)
+    vs, vx, ws, wx, c, n = unpack(blob, *_BIGRAM)
+    return joined(vs, vx), joined(ws, wx), c.astype(np.int64), n.astype(np.int64)
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,8 +445,8 @@ def _finish(known, d2: np.ndarray, d3: np.ndarray, spread: dict):
         sm = d2[np.minimum(sc, LARGE + 1)] * sc / norm[np.searchsorted(ov, sv)] if len(sv) else np.zeros(0)
         own, la2 = np.concatenate([own, ov]), np.concatenate([la2, [spread[int(x)][1] for x in ov.tolist()]])
         v, w, p2, p1 = np.concatenate([v, sv]), np.concatenate([w, sw]), np.concatenate([m, sm]), np.concatenate([p1, sk / words.every])
-        u16, ux, v16, vx, w16, wx, c, n = unpack(trigrams, *_TRIGRAM)
-        tu, tv, tw, c, n = joined(u16, ux), joined(v16, vx), joined(w16, wx), c.astype(np.int64), n.astype(np.int64)
+        us, ux, vs, vx, ws, wx, c, n = unpack(trigrams, *_TRIGRAM)
+        tu, tv, tw, c, n = joined(us, ux), joined(vs, vx), joined(ws, wx), c.astype(np.int64), n.astype(np.int64)
         k2 = key2(v, w)
         order = np.argsort(k2)
         at = order[np.searchsorted(k2[order], key2(tv, tw))] if len(tv) else np.zeros(0, np.int64)
@@ -447,8 +455,9 @@ def _finish(known, d2: np.ndarray, d3: np.ndarray, spread: dict):
         la3 = _weights(seen, np.bincount(inv, p2[at], len(first)))
         # Of words that aren't frequent, log P1 is added by their own shard, so here it is taken off.
         less2 = np.where(w >= _RARE, np.log(np.maximum(p1, _TINY)), 0.0)
-        a = pack(*split(v), *split(w), np.log(p2) - less2, *split(own), la2)
-        b = pack(*split(tu), *split(tv), *split(tw), np.log(p3) - less2[at], *split(tu[first]), *split(tv[first]), la3)
+        a = pack(*split(v), *split(w), *valued(np.log(p2) - less2), *split(own), la2)
+        first, la3 = first[turn := np.argsort(first)], la3[turn]
+        b = pack(*split(tu), *split(tv), *split(tw), *valued(np.log(p3) - less2[at]), *split(tu[first]), *split(tv[first]), *valued(la3))
         return _model([((left if len(left) else right)["shard"][0].as_py(), TOKENS, a, b)])
 
     return finish
@@ -483,11 +492,11 @@ class Shard:
             none = np.zeros(0, _U), np.zeros(0)
             self.two = self.one = self.three = self.both = _Values(*none)
             return
-        v16, vx, w16, wx, value, o16, ox, la = unpack(a, "<u2", "<u8", "<u2", "<u8", "<f8", "<u2", "<u8", "<f8")
-        self.two, self.one = _Values(key2(joined(v16, vx), joined(w16, wx)), value), _Values(joined(o16, ox), la)
-        u16, ux, v16, vx, w16, wx, value, hu, hux, hv, hvx, la = unpack(b, *_TRIGRAM[:6], "<f8", *_TRIGRAM[:4], "<f8")
-        self.three = _Values(key2(key2(joined(u16, ux), joined(v16, vx)), joined(w16, wx)), value)
-        self.both = _Values(key2(joined(hu, hux), joined(hv, hvx)), la)
+        vs, vx, ws, wx, value, i, os, ox, la = unpack(a, "<u4", "<u8", "<u4", "<u8", "<f8", "<u4", "<u4", "<u8", "<f8")
+        self.two, self.one = _Values(key2(joined(vs, vx), joined(ws, wx)), value[i]), _Values(joined(os, ox), la)
+        us, ux, vs, vx, ws, wx, value, i, hu, hux, hv, hvx, la, j = unpack(b, *_TRIGRAM[:6], "<f8", "<u4", *_TRIGRAM[:4], "<f8", "<u4")
+        self.three = _Values(key2(key2(joined(us, ux), joined(vs, vx)), joined(ws, wx)), value[i])
+        self.both = _Values(key2(joined(hu, hux), joined(hv, hvx)), la[j])
 
     def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Log P3(w | u v), less log P1(w) where w isn't frequent: the trigram, else the weight of (u, v) and the bigram, else the weight of v and the word."""
@@ -524,14 +533,29 @@ def _packed_words(parts: int):
     return work
 
 
+def _often(words: DataFrame, most: int, widest: int = 1 << 16) -> int:
+    """The least count from which on there are no more than `most` words: from a histogram of at most `widest` rows, beyond it by doubling."""
+    n = {r.c: r.n for r in words.groupBy(F.least("c", F.lit(widest)).alias("c")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, widest + 1
+    for c in sorted(n, reverse=True):
+        total += n[c]
+        if total > most:
+            break
+        least = c
+    while least > widest and words.filter(F.col("c") >= least).limit(most + 1).count() > most:
+        least *= 2
+    return least
+
+
 def train(documents: DataFrame, least: int = LEAST, hot: int = HOT, spread: int = SPREAD) -> Model:
     """Counts all of documents."""
     spark, texts, parts = documents.sparkSession, documents.select("text"), FINE * shards(documents.sparkSession)
     words = table(texts.mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "katz-words")
     end = int(BOUNDARY.view(np.int64))
-    # `hot` bounds what comes to the driver; the boundary is always there.
-    top = words.orderBy(F.col("w") != end, F.desc("c"), "w").limit(max(1, min(hot, HOT))).toArrow()
-    every = float((words.agg(F.sum("c")).first()[0] or 0) + 1)
+    # Words are frequent from the least count on that no more than `hot` of them reach, which bounds what comes to the driver; the boundary always is.
+    often, every = _often(words, max(1, min(hot, HOT) - 1)), float((words.agg(F.sum("c")).first()[0] or 0) + 1)
+    frequent = (F.col("c") >= often) | (F.col("w") == end)
+    top = words.filter(frequent).toArrow()
     prints, counts = top["w"].to_numpy().view(_U), top["c"].to_numpy()
     if not len(prints):
         prints, counts = np.array([BOUNDARY]), np.ones(1, np.int64)
@@ -567,8 +591,7 @@ def train(documents: DataFrame, least: int = LEAST, hot: int = HOT, spread: int
         where = spark.createDataFrame([(int(x), (int(b) + i) % parts) for x, b, m in zip(many, base, size, strict=True) for i in range(int(m))], "v long, shard int")
         right = right.unionByName(pairs.join(where, "v").select("shard", "v", "w", "c", "k"))
     finished = plain.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_finish(known, *d, weights), "shard int, kind int, a binary, b binary")
-    rare = words.join(F.broadcast(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "w long")), "w", "left_anti")  # `hot` bounds it
-    packed = rare.mapInArrow(_packed_words(parts), "shard int, kind int, a binary, b binary")
+    packed = words.filter(~frequent).mapInArrow(_packed_words(parts), "shard int, kind int, a binary, b binary")
     model = table(finished.unionByName(packed), "katz-model")
     drop(counted, *([pairs] if len(many) else []))
     return Model(words, model, known, parts, [words, model])
