@@ -17,8 +17,9 @@ same sets are built and applied with shuffled joins.
 Edge cases: null or empty html has empty text and 0 words; a page without a host
 in its url (null, relative) is compared with no other page; rows with equal
 page_id are one page; a null page_id is a page known by its url and html; pages
-of fewer than MIN_WORDS words are kept whole; unclosed comments or scripts run
-to the end; other columns are ignored.
+of fewer than MIN_WORDS words are kept whole; a very long page is read whole;
+unclosed comments or scripts run to the end; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

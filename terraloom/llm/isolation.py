@@ -12,9 +12,11 @@ Statistics are shares, shrunk towards the typical document by ``SHRINK`` words,
 so that length alone never makes a document anomalous.
 
 Edge cases: null or empty text has no words, score 1 and is anomalous; null
-labels and ids are left out of training and calibration; without good labelled
-rows no document that has words is anomalous; repeated rows get equal results;
-other columns are ignored.
+labels and ids are left out of training and calibration; an id with labels of
+both kinds counts as bad; without good labelled rows no document that has words
+is anomalous; equal texts get equal scores, so ties are decided alike; very long
+texts are read whole; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ ties going to the lower doc_id.
 Edge cases: a null source is a source of its own; null or empty texts count as
 documents of 0 tokens; a source with no tokens at all keeps all its documents;
 a source whose target weight is absent, null or not positive is left out;
-repeated rows and ids are drawn each on its own; an empty table gives no rows.
+repeated rows and ids are drawn each on its own; a very long text is one
+document of many tokens; an empty table gives no rows.
 Columns of the input other than doc_id, text and source are passed on as they
 are by ``select_rows`` and ignored by ``mix``.
 """

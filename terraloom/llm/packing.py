@@ -12,19 +12,24 @@ The plan is a list of runs (length, first rank, ranks, windows, ...), bounded
 by the window size too. Documents get their rank within their length by a
 two-level count (per bucket, then within it) and look their window up.
 
+``pack`` gives places, ``contents`` the windows with their text.
+
 Edge cases: null or empty text has 0 tokens and gives no piece; null ids are
 kept and count as documents of their own; repeated rows are packed each; ties
-(equal lengths) go by doc_id, then text hash; an empty table gives no rows;
-other columns are ignored.
+(equal lengths) go by doc_id, then text hash; a very long text fills windows of
+its own and its rest is an item as any other; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import read, shards, small, table
+from terraloom.llm.tokens import chunks, word_bounds
 
 WINDOW = 2048
 
@@ -108,6 +113,10 @@ def tokens(text: str = "text"):
 
 def pack(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, piece, start, length, window_id, offset: where each stretch of tokens of each document goes."""
+    return _places(documents, window).drop("h")
+
+
+def _places(documents: DataFrame, window: int) -> DataFrame:
     spark = documents.sparkSession
     buckets = shards(spark)
     sized = documents.select(F.col("doc_id").alias("d"), tokens().cast("int").alias("n"), F.xxhash64("text").alias("h")).filter("n > 0")
@@ -121,13 +130,13 @@ def pack(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     order = ["d", "h"]
     ranked = sized.withColumn("k", F.row_number().over(W.partitionBy("b", "r").orderBy(*order)) - 1)
     ranked = ranked.withColumn("w", F.sum(F.expr(f"n div {window}")).over(W.partitionBy("b").orderBy("r", "k").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = ranked.join(F.broadcast(fulls), "b")  # one row per bucket
-    full = ranked.filter(f"n >= {window}").select("d", F.col("w0") + F.coalesce("w", F.lit(0)), F.explode(F.sequence(F.lit(0), F.expr(f"int(n div {window}) - 1"))).alias("piece"))
-    full = full.toDF("doc_id", "w", "piece").select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * window).alias("start"), F.lit(window).alias("length"), (F.col("w") + F.col("piece")).alias("window_id"), F.lit(0).alias("offset"))
+    ranked = ranked.join(small(fulls, buckets, 24), "b")  # one row per bucket
+    full = ranked.filter(f"n >= {window}").select("d", "h", F.col("w0") + F.coalesce("w", F.lit(0)), F.explode(F.sequence(F.lit(0), F.expr(f"int(n div {window}) - 1"))).alias("piece"))
+    full = full.toDF("doc_id", "h", "w", "piece").select("doc_id", "h", F.col("piece").cast("int").alias("piece"), (F.col("piece") * window).alias("start"), F.lit(window).alias("length"), (F.col("w") + F.col("piece")).alias("window_id"), F.lit(0).alias("offset"))
     lists = spark.createDataFrame([(n, [(a, m, w, p, o) for _, a, m, w, p, o in own]) for n, own in _by_length(runs).items()], "r int, runs array<struct<a: long, m: long, w: long, p: long, o: long>>")
     items = ranked.filter("r > 0").join(offsets, ["r", "b"]).withColumn("k", F.col("k") + F.col("o")).join(small(lists, len(runs), 64), "r")
     items = items.withColumn("u", F.expr("filter(runs, x -> k >= x.a and k < x.a + x.m)[0]")).withColumn("k", F.expr("k - u.a"))
-    items = items.select(F.col("d").alias("doc_id"), F.expr(f"int(n div {window})").alias("piece"), (F.col("n") - F.col("r")).alias("start"), F.col("r").alias("length"), F.expr("u.w + k div u.p").alias("window_id"), F.expr("int(u.o + (k % u.p) * r)").alias("offset"))
+    items = items.select(F.col("d").alias("doc_id"), "h", F.expr(f"int(n div {window})").alias("piece"), (F.col("n") - F.col("r")).alias("start"), F.col("r").alias("length"), F.expr("u.w + k div u.p").alias("window_id"), F.expr("int(u.o + (k % u.p) * r)").alias("offset"))
     return full.unionByName(items)
 
 
@@ -138,9 +147,35 @@ def _by_length(runs: list) -> dict[int, list]:
     return out
 
 
+def _pieces(text: pa.Array, places: pa.Array) -> pa.Array:
+    """The words [start, start + length) of each place, single spaces between."""
+    out = []
+    for a, b, raw, off in chunks(text):
+        starts, ends, first = word_bounds(raw, off)
+        for i in range(b - a):
+            own = []
+            for place in places[a + i].as_py():
+                lo = first[i] + place["start"]
+                part = raw[starts[lo] : ends[lo + place["length"] - 1]].tobytes().decode()
+                own.append({"window_id": place["window_id"], "offset": place["offset"], "length": place["length"], "text": " ".join(part.split())})
+            out.append(own)
+    return pa.array(out, pa.list_(pa.struct([("window_id", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("text", pa.string())])))
+
+
+def contents(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """window_id, n_tokens, doc_ids and text of every window: its pieces in order, a line each, doc_ids beside them."""
+    places = _places(documents, window).groupBy(F.col("doc_id").alias("d"), "h").agg(F.collect_list(F.struct("window_id", "offset", "start", "length")).alias("places"))
+    # Rows with one id and text are alike, so one of them serves all their places.
+    texts = documents.select(F.col("doc_id").alias("e"), F.xxhash64("text").alias("g"), "text").filter("text IS NOT NULL").groupBy("e", "g").agg(F.first("text").alias("text"))
+    cut = F.arrow_udf(_pieces, "array<struct<window_id: long, offset: int, length: int, text: string>>").asNondeterministic()
+    pieces = places.join(texts, F.expr("d <=> e AND h = g")).select("d", F.explode(cut("text", "places")).alias("p")).select("p.*", "d")
+    own = pieces.groupBy("window_id").agg(F.sum("length").cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "d", "text"))).alias("parts"))
+    return own.select("window_id", "n_tokens", F.transform("parts", lambda p: p["d"]).alias("doc_ids"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+
+
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the windows' contents."""
-    return pack(docs)
+    """Pipeline stage, the last: the windows that the texts fill, with doc_ids and text. Rows without words are in none; null ids stay null in doc_ids; an empty table gives no window."""
+    return contents(docs)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

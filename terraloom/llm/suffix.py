@@ -19,9 +19,10 @@ distinct suffix.
 Edge cases: null or empty texts and texts under LENGTH words have no passages;
 rows without doc_id are neither searched nor cut; rows with equal ids are one
 document, and repeats within a document aren't passages; the lowest doc_id
-keeps the passage; ``cut_rows`` drops rows that lose all their words, passes
-other columns on, and sets n_chars of cut rows to the new length where there is
-such a column.
+keeps the passage; a very long text is searched whole; an empty table has none;
+``cut_rows`` drops rows that lose all their words, passes other columns on,
+whatever their names, and sets n_chars of cut rows to the new length where there
+is such a column.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import BROADCAST_BYTES, read, shards, table
+from terraloom.llm.common import drop, read, shards, table
 from terraloom.llm.tokens import chunks, row_of, window_hashes, word_bounds, word_hashes
 
 LENGTH, K = 50, 13
@@ -188,15 +189,14 @@ def candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
     found = docs.select("d", "salt", F.explode(_anchor_lists(length, k)("text", "salt")).alias("x")).select("d", "salt", "x.key", "x.at")
     found = table(found, "suffix-anchors")
     shared = found.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("key")
-    return table(found.join(shared, "key").groupBy("d", "salt").agg(F.collect_set("at").alias("places")), "suffix-places")
+    places = table(found.join(shared, "key").groupBy("d", "salt").agg(F.collect_set("at").alias("places")), "suffix-places")
+    drop(found)
+    return places
 
 
 def suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(d, key, start, prints): the suffixes of shared anchors; prints are the fingerprints of consecutive windows from start on."""
-    places = candidates(docs, length, k)
-    size = places.agg(F.sum(F.size("places") * 4 + 32)).first()[0] or 0
-    side = F.broadcast(places) if size <= BROADCAST_BYTES else places
-    both = docs.join(side, ["d", "salt"])
+    both = docs.join(candidates(docs, length, k), ["d", "salt"])
     return both.select("d", F.explode(_suffix_lists(length, k)("text", "salt", "places")).alias("x")).select("d", "x.*")
 
 
@@ -239,8 +239,6 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 def cut_rows(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of documents with their repeated passages cut out."""
     spans = repeats(documents, length).withColumnRenamed("d", "__suffix_d").withColumnRenamed("spans", "__suffix_s")
-    size = spans.agg(F.sum(F.size("__suffix_s") * 16 + 32)).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     both = documents.join(spans, F.col("doc_id") == F.col("__suffix_d"), "left").drop("__suffix_d")
     hit = F.col("__suffix_s").isNotNull()
     cut = F.arrow_udf(_cut, "string").asNondeterministic()("text", "__suffix_s")

@@ -10,13 +10,16 @@ marker words at least the median of toxic rows) and ``varied`` (distinct marker
 words at least the median) come first, ``toxic`` itself last; it decides.
 Markers are the words that the labelled rows tie to the flag.
 
-The fit uses at most ``max_rows`` labelled rows, the lowest by hash of doc_id,
-half of them toxic where there are as many; scoring covers every document.
+The fit uses at most ``max_rows`` labelled rows that have a document, the lowest
+by hash of doc_id, half of them toxic where there are as many, and every word
+that ``LEAST_ROWS`` of them hold; scoring covers every document.
 
 Edge cases: null or empty text holds no words and is never toxic; rows with a
-null label or id aren't trained on; without rows of both kinds all
-probabilities are 0; repeated rows get equal results; other columns of the
-inputs are ignored.
+null label or id aren't trained on; an id with labels of both kinds counts as
+toxic; without rows of both kinds all probabilities are 0; equal texts count
+once in training and get equal results, so ties can't be told apart; very long
+texts are read whole; an empty table gives no rows; other columns of the inputs
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from terraloom.llm.common import read
 from terraloom.llm.tokens import chunks, letter_bounds, row_of, word_hashes
 
 CATEGORIES = ("dense", "varied", "toxic")
-MAX_ROWS, MAX_WORDS, FOLDS = 6000, 1024, 5
+MAX_ROWS, LEAST_ROWS, FOLDS = 6000, 3, 5
 _RESULT = T.StructType([T.StructField(f"p_{c}", T.DoubleType(), False) for c in CATEGORIES] + [T.StructField("is_toxic", T.BooleanType(), False)])
 
 
@@ -87,10 +90,11 @@ def _distinct_words(text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Chain:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
     """Fits the chain on a bounded sample of labelled rows."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("i").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("i"))
+    known = known.join(documents.select(F.col("doc_id").cast("long").alias("i")), "i", "left_semi")
     picked = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy("o", "i").limit(max_rows // 2).collect()]
     empty = Chain(np.zeros(0, np.uint64), [(np.zeros(0), np.zeros(c), -35.0) for c in range(len(CATEGORIES))], 1.0)
     if not picked or len({r.y for r in picked}) < 2:
@@ -109,13 +113,12 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
     first = lists.offsets.to_numpy().astype(np.int64) // 2
     h, times = flat[::2].view(np.uint64), flat[1::2]
     row = np.repeat(np.arange(len(y)), np.diff(first))
-    # Words by how far their presence is tied to the label, as a signed root of chi-squared.
+    # How far a word's presence is tied to the label, as a signed root of chi-squared.
     u, inv = np.unique(h, return_inverse=True)
     pos, all_ = np.bincount(inv, y[row], len(u)), np.bincount(inv, minlength=len(u)).astype(float)
     rate = y.mean()
     z = (pos - all_ * rate) / np.sqrt(all_ * rate * (1 - rate) + 1e-9)
-    often = np.flatnonzero(all_ >= max(3, 0.001 * len(y)))
-    best = np.sort(often[np.argsort(-np.abs(z[often]), kind="stable")[:max_words]])
+    best = np.flatnonzero(all_ >= LEAST_ROWS)
     place = np.full(len(u), -1)
     place[best] = np.arange(len(best))
     f = place[inv]
@@ -150,8 +153,10 @@ def _threshold(p: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
 
 def scorer(chain: Chain):
     """A column function: text -> struct of probabilities and the decision."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(chain)  # the words of MAX_ROWS texts at most
 
     def score(text: pa.Array) -> pa.Array:
+        chain = sent.value
         p = np.zeros((len(text), len(CATEGORIES)))
         for a, n, row, word in _known(text, chain.words):
             p[a : a + n] = chain.predict(row, word, n)
