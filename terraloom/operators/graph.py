@@ -62,12 +62,12 @@ def check_edges(pairs: DataFrame, cells: DataFrame, res: float, top: float) -> D
 
 
 def candidate_edges(nodes: DataFrame, cutoff: float, budget: int = 600_000, least: float = 500.0) -> DataFrame:
-    """Pairs within cutoff; over budget the cutoff shrinks by a quarter, twice at most and not under the least."""
+    """Pairs within cutoff; over budget the cutoff shrinks by a quarter, twice at most and down to the least."""
     pairs = table(within(nodes, cutoff), "pairs")
     for _ in range(2):
-        if pairs.count() <= budget or cutoff * 0.75 < least:
+        if pairs.count() <= budget or cutoff <= least:
             break
-        cutoff *= 0.75
+        cutoff = max(least, 0.75 * cutoff)
         pairs = pairs.filter(F.col("d") <= cutoff)
     return pairs
 
@@ -92,6 +92,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def connectivity(edges: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row: number of components, size of the largest, whether two vertices (the first and the last by default) are together."""
+    labels = components(edges)
+    size = labels.groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    a = F.lit(start) if start is not None else F.min("v")
+    b = F.lit(end) if end is not None else F.max("v")
+    ends = labels.agg(a.alias("a"), b.alias("b"))
+    both = labels.join(F.broadcast(ends), (F.col("v") == F.col("a")) | (F.col("v") == F.col("b"))).agg((F.countDistinct("c") == 1).alias("together"))
+    return size.crossJoin(F.broadcast(both))
+
+
 def control_nodes(controls: DataFrame) -> DataFrame:
     """Nodes of control points (ctrl_kind, seq, type, x, y)."""
     kind = F.when(F.col("ctrl_kind") == "start_end", F.concat(F.lit("start_end_"), F.coalesce("type", F.lit("waypoint")))).otherwise(F.col("ctrl_kind"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,13 +87,13 @@ def nodata(value: Column, declared: float | None) -> Column:
 
 
 def passage_costs(grid: DataFrame) -> DataFrame:
-    """lpcf from forbidden, guide, reward, excluded (800 kV zone), peak and adder, in this order; forbidden cells stay forbidden."""
+    """lpcf from guide, forbidden, reward, excluded (800 kV zone), peak and adder, in this order, so that rewards and adders also move forbidden cells."""
     v = F.greatest(F.lit(1.0), F.coalesce("guide", F.lit(1.0)))
+    v = F.when(F.coalesce("forbidden", F.lit(False)), FORBIDDEN).otherwise(v)
     v = v - 0.001 * F.coalesce("reward", F.lit(0.0))
     v = F.when(F.coalesce("excluded", F.lit(False)), F.greatest(v, F.lit(500.0))).otherwise(v)
     v = F.when(F.coalesce("peak", F.lit(False)), v - 0.03).otherwise(v)
-    v = v + F.coalesce("adder", F.lit(0.0))
-    return grid.withColumn("lpcf", F.when(F.coalesce("forbidden", F.lit(False)), FORBIDDEN).otherwise(v))
+    return grid.withColumn("lpcf", v + F.coalesce("adder", F.lit(0.0)))
 
 
 def tower_costs(grid: DataFrame) -> DataFrame:
@@ -107,17 +109,44 @@ def tower_difficulty(grid: DataFrame) -> DataFrame:
     return around.withColumn("difficulty", F.when(F.col("tower_ok") == 1, v).otherwise(50000.0)).drop("_ok", "sum__ok")
 
 
-def distance_to(grid: DataFrame, mark: str, reach: int) -> DataFrame:
-    """Distance in cells from each cell to the nearest marked one, up to reach, exact: along columns, then along rows.
+def distance_to(grid: DataFrame, mark: str) -> DataFrame:
+    """Exact distance in cells from each cell to the nearest marked one, null where there is none: down the columns, then along each row.
 
-    Null where none is as near. Each pass only looks reach cells far.
+    The second pass takes the lower envelope of a row's parabolas, so no distance
+    is out of reach and a row is the most that a task holds.
     """
     up, down = W.partitionBy("c").orderBy("r").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("c").orderBy("r").rowsBetween(0, W.unboundedFollowing)
     above, below = F.last(F.when(F.col(mark), F.col("r")), True).over(up), F.first(F.when(F.col(mark), F.col("r")), True).over(down)
-    a = grid.withColumn("_dy", F.least(F.col("r") - above, below - F.col("r"))).withColumn("_dy", F.when(F.col("_dy") <= reach, F.col("_dy")))
-    near = a.filter("_dy IS NOT NULL").select("r", F.col("_dy").alias("dy"), F.explode(F.sequence(F.col("c") - reach, F.col("c") + reach)).alias("c"), F.col("c").alias("c0"))
-    best = near.groupBy("r", "c").agg(F.min(F.sqrt(F.col("dy") ** 2 + (F.col("c") - F.col("c0")) ** 2)).alias("distance"))
-    return grid.join(best, ["r", "c"], "left").withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))
+    heights = grid.select("r", "c", F.least(F.col("r") - above, below - F.col("r")).cast("double").alias("dy"))
+    best = heights.groupBy("r").applyInArrow(_row_distances, "r int, c int, distance double")
+    return grid.join(best, ["r", "c"], "left")
+
+
+def _row_distances(rows: pa.Table) -> pa.Table:
+    c, dy = rows["c"].to_numpy().astype(np.int64), rows["dy"].fill_null(np.inf).to_numpy()
+    order = np.argsort(c)
+    at, height = c[order], dy[order] ** 2
+    use = np.flatnonzero(np.isfinite(height))
+    out = np.full(len(c), np.inf)
+    if len(use):
+        x, h = at[use].astype(float), height[use]
+        top, cut = [0], [-np.inf]
+        for k in range(1, len(x)):
+            while True:
+                j = top[-1]
+                meet = ((h[k] + x[k] ** 2) - (h[j] + x[j] ** 2)) / (2 * (x[k] - x[j]))
+                if meet > cut[-1] or len(top) == 1:
+                    break
+                top.pop()
+                cut.pop()
+            if meet <= cut[-1]:
+                top, cut = [k], [-np.inf]
+            else:
+                top.append(k)
+                cut.append(meet)
+        own = np.array(top)[np.searchsorted(np.array(cut), at, "right") - 1]
+        out[order] = np.sqrt(h[own] + (at - x[own]) ** 2)
+    return pa.table([rows["r"].cast(pa.int32()), pa.array(c, pa.int32()), pa.array(out, mask=~np.isfinite(out))], names=["r", "c", "distance"])
 
 
 def blocks(grid: DataFrame, size: int, high: float = 4.0) -> DataFrame:

@@ -17,14 +17,14 @@ def cells(c):
     """The elevation grid as costs: holes are forbidden."""
     bad = F.col("elev").isNull()
     g = c.grid.select("r", "c", bad.alias("forbidden"), F.when(bad, 999999.0).otherwise(F.col("zone_code") + 1.0).alias("lpcf"))
-    return G.distance_to(g, "forbidden", 4).withColumn("distance_m", F.col("distance") * RES)
+    return G.distance_to(g, "forbidden").withColumn("distance_m", F.col("distance") * RES)
 
 
 def blocks(c):
     return G.blocks(cells(c), 5)
 
 
-_CELL = "ce AS (SELECT r, c, elev IS NULL AS bad, CASE WHEN elev IS NULL THEN 999999 ELSE zone_code + 1 END AS lp FROM v_grid), ed AS (SELECT a.r, a.c, a.bad, a.lp, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM ce a LEFT JOIN ce b ON b.bad AND abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 16 GROUP BY a.r, a.c, a.bad, a.lp)"
+_CELL = "ce AS (SELECT r, c, elev IS NULL AS bad, CASE WHEN elev IS NULL THEN 999999 ELSE zone_code + 1 END AS lp FROM v_grid), ed AS (SELECT a.r, a.c, a.bad, a.lp, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM ce a LEFT JOIN ce b ON b.bad GROUP BY a.r, a.c, a.bad, a.lp)"
 _BLOCK = f"{_CELL}, bl AS (SELECT r // 5 AS br, c // 5 AS bc, avg(CASE WHEN bad THEN 1e0 ELSE 0 END) AS fr, avg(CASE WHEN lp > 4 AND NOT bad THEN 1e0 ELSE 0 END) AS hcr, min(sqrt(d2)) * 100 AS md FROM ed GROUP BY 1, 2), bk AS (SELECT *, CASE WHEN (fr > 15e-2 AND coalesce(md, 1e9) < 100) OR hcr > 5e-1 THEN 'dense' WHEN coalesce(md, 1e9) < 300 OR hcr > 2e-1 THEN 'complex' ELSE 'open' END AS kind FROM bl)"
 
 
@@ -103,11 +103,9 @@ def _(c):
     return graph.components(spatial.within(c.point, 300.0))
 
 
-@query("start_end_connected", None)
+@query("start_end_connected", "WITH RECURSIVE e AS (SELECT a.fid AS a, b.fid AS b FROM v_point a JOIN v_point b ON a.fid <> b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 90000), w AS (SELECT a AS v, a AS u FROM e UNION SELECT w.v, e.b FROM w JOIN e ON e.a = w.u), l AS (SELECT v, min(u) AS c FROM w GROUP BY v), n AS (SELECT c, count(*) AS n FROM l GROUP BY c), p AS (SELECT min(v) AS a, max(v) AS b FROM l) SELECT (SELECT count(*) FROM n) AS components, (SELECT max(n) FROM n) AS largest, (SELECT c FROM l JOIN p ON v = p.a) = (SELECT c FROM l JOIN p ON v = p.b) AS together", PT)
 def _(c):
-    lab = graph.components(spatial.within(c.point, 700.0))
-    size = lab.groupBy("c").count()
-    return size.agg(F.count("*").alias("components"), F.max("count").alias("largest")).crossJoin(lab.filter("v IN (1, 2)").agg((F.countDistinct("c") == 1).alias("together")))
+    return graph.connectivity(spatial.within(c.point, 300.0))
 
 
 @query("control_nodes", "SELECT CASE WHEN ctrl_kind = 'start_end' THEN 'start_end_' || type ELSE ctrl_kind END AS node_type, seq, x, y FROM v_ctrl UNION ALL SELECT 'must_path_sample', k, 1000 + k * 2e2, 500e0 FROM (SELECT unnest(range(0, 6)) AS k) t", ("ctrl",))

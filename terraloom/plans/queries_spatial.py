@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terraloom.functions import cost
 from terraloom.functions.geometry import clipped_length, rectangle_ring, segment_distance
 from terraloom.operators import grid as G
 from terraloom.operators import polygons, route, spatial
@@ -212,7 +213,13 @@ def layers(c):
         g = g.join(layer, at, "left")
     zone = (F.floor(F.col("r") / 50) + F.floor(F.col("c") / 50)).cast("int") % 6
     g = g.withColumn("zone_code", zone).join(F.broadcast(c.zones), "zone_code", "left")
-    return g.withColumns({"forbidden": F.coalesce("forbidden", F.lit(False)), "no_tower": F.coalesce("no_tower", F.lit(False)) | F.coalesce("forbidden", F.lit(False)), "adder": F.coalesce("adder", F.lit(50)), "tower_mult": F.coalesce("tower_mult", F.lit(1.15))})
+    # Around rewarded lines of 800 kV and more; terrain flags and slopes by formula, as a DEM of this size would give them.
+    strong = c.poly.filter("variant = 'reward'").join(F.broadcast(c.rules.filter("reward > 0").filter(cost.voltage_kv(F.col("level2")) >= 800).select("rule_id")), "rule_id")
+    wide = strong.select(*[(F.col(b) + s * 600).alias(b) for b, s in zip(BOX, (-1, -1, 1, 1), strict=True)])
+    g = g.join(_burn(wide).select(*at).distinct().withColumn("excluded", F.lit(True)), at, "left")
+    r, k = F.col("r"), F.col("c")
+    g = g.withColumns({"valley": (r * 7 + k * 3) % 97 == 0, "peak": (r * 5 + k * 11) % 89 == 0, "slope": ((r + k) % 40).cast("double")})
+    return g.withColumns({"forbidden": F.coalesce("forbidden", F.lit(False)), "no_tower": F.coalesce("no_tower", F.lit(False)) | F.coalesce("forbidden", F.lit(False)) | F.col("valley"), "adder": F.coalesce("adder", F.lit(50)), "tower_mult": F.coalesce("tower_mult", F.lit(1.15))})
 
 
 @query("forbidden_mask", f"WITH {_MASK} SELECT cells.r, cells.c, CASE WHEN fm.r IS NULL THEN 0 ELSE 1 END AS v FROM cells LEFT JOIN fm ON fm.r = cells.r AND fm.c = cells.c", RP)
@@ -220,30 +227,29 @@ def _(c):
     return layers(c).select("r", "c", F.col("forbidden").cast("int").alias("v"))
 
 
-@query("tower_mask", f"WITH {_MASK} SELECT cells.r, cells.c, CASE WHEN fm.r IS NULL AND nm.r IS NULL THEN 1 ELSE 0 END AS v FROM cells LEFT JOIN fm ON fm.r = cells.r AND fm.c = cells.c LEFT JOIN nm ON nm.r = cells.r AND nm.c = cells.c", RP)
+@query("tower_mask", f"WITH {_MASK} SELECT cells.r, cells.c, CASE WHEN fm.r IS NULL AND nm.r IS NULL AND (cells.r * 7 + cells.c * 3) % 97 <> 0 THEN 1 ELSE 0 END AS v FROM cells LEFT JOIN fm ON fm.r = cells.r AND fm.c = cells.c LEFT JOIN nm ON nm.r = cells.r AND nm.c = cells.c", RP)
 def _(c):
     return layers(c).select("r", "c", (~F.col("no_tower")).cast("int").alias("v"))
 
 
 _FIELDS = f"""{_MASK}, gm AS (SELECT c.r, c.c, max(CASE WHEN cost_type = 'forbidden' OR (base IS NULL AND price <= 0) THEN NULL WHEN price >= 5000 THEN 8 WHEN price >= 1000 THEN 4 WHEN price >= 100 THEN 2 ELSE 15e-1 END) AS g, max(CASE WHEN land_num > 0 THEN least(land_num * 1e-2, 10) END) AS tg FROM cells c JOIN cp p ON {_IN} GROUP BY c.r, c.c),
-rw AS (SELECT c.r, c.c, sum(p.reward) AS rw FROM cells c JOIN (SELECT q.*, r.reward FROM v_poly q JOIN rules r ON r.rule_id = q.rule_id WHERE q.variant = 'reward' AND r.reward > 0) p ON {_IN} GROUP BY c.r, c.c), zn AS (SELECT cells.r, cells.c, coalesce(z.adder, 50) AS adder, coalesce(z.tower_mult, 115e-2) AS tm FROM cells LEFT JOIN zones z ON z.zone_code = (cells.r // 50 + cells.c // 50) % 6)"""
+rw AS (SELECT c.r, c.c, sum(p.reward) AS rw FROM cells c JOIN (SELECT q.*, r.reward FROM v_poly q JOIN rules r ON r.rule_id = q.rule_id WHERE q.variant = 'reward' AND r.reward > 0) p ON {_IN} GROUP BY c.r, c.c), ex AS (SELECT DISTINCT c.r, c.c FROM cells c JOIN (SELECT q.xmin - 600 AS xmin, q.ymin - 600 AS ymin, q.xmax + 600 AS xmax, q.ymax + 600 AS ymax FROM v_poly q JOIN rules r ON r.rule_id = q.rule_id WHERE q.variant = 'reward' AND r.reward > 0 AND coalesce(try_cast(nullif(regexp_extract(level2, '(?i)(\\d+)\\s*kV', 1), '') AS INT), 0) >= 800) p ON {_IN}), zn AS (SELECT cells.r, cells.c, (cells.r * 7 + cells.c * 3) % 97 = 0 AS valley, (cells.r * 5 + cells.c * 11) % 89 = 0 AS peak, (cells.r + cells.c) % 40 * 1e0 AS slope, coalesce(z.adder, 50) AS adder, coalesce(z.tower_mult, 115e-2) AS tm FROM cells LEFT JOIN zones z ON z.zone_code = (cells.r // 50 + cells.c // 50) % 6)"""
 RPZ = ("rules", "poly", "zones")
 
 
-@query("lpcf", f"WITH {_FIELDS} SELECT zn.r, zn.c, round(CASE WHEN fm.r IS NOT NULL THEN 999999 ELSE greatest(1, coalesce(g, 1)) - 1e-3 * coalesce(rw, 0) + adder END, 4) AS lpcf FROM zn LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c LEFT JOIN rw ON rw.r = zn.r AND rw.c = zn.c", RPZ)
+@query("lpcf", f"WITH {_FIELDS} SELECT zn.r, zn.c, round(CASE WHEN ex.r IS NOT NULL THEN greatest(500, CASE WHEN fm.r IS NOT NULL THEN 999999 ELSE greatest(1, coalesce(g, 1)) END - 1e-3 * coalesce(rw, 0)) ELSE CASE WHEN fm.r IS NOT NULL THEN 999999 ELSE greatest(1, coalesce(g, 1)) END - 1e-3 * coalesce(rw, 0) END - CASE WHEN peak THEN 3e-2 ELSE 0 END + adder, 4) AS lpcf FROM zn LEFT JOIN ex ON ex.r = zn.r AND ex.c = zn.c LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c LEFT JOIN rw ON rw.r = zn.r AND rw.c = zn.c", RPZ)
 def _(c):
-    g = layers(c).withColumn("excluded", F.lit(False)).withColumn("peak", F.lit(False))
-    return G.passage_costs(g).select("r", "c", F.round("lpcf", 4).alias("lpcf"))
+    return G.passage_costs(layers(c)).select("r", "c", F.round("lpcf", 4).alias("lpcf"))
 
 
-@query("tscf", f"WITH {_FIELDS} SELECT zn.r, zn.c, round(CASE WHEN fm.r IS NOT NULL OR nm.r IS NOT NULL THEN 999999 ELSE greatest(1, coalesce(tg, 1)) * tm END, 4) AS tscf FROM zn LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN nm ON nm.r = zn.r AND nm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c", RPZ)
+@query("tscf", f"WITH {_FIELDS} SELECT zn.r, zn.c, round(CASE WHEN fm.r IS NOT NULL OR nm.r IS NOT NULL OR valley THEN 999999 ELSE greatest(1, coalesce(tg, 1)) * tm END, 4) AS tscf FROM zn LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN nm ON nm.r = zn.r AND nm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c", RPZ)
 def _(c):
     return G.tower_costs(layers(c)).select("r", "c", F.round("tscf", 4).alias("tscf"))
 
 
-@query("tower_difficulty", f"WITH {_FIELDS}, t AS (SELECT zn.r, zn.c, CASE WHEN fm.r IS NULL AND nm.r IS NULL THEN 1e0 ELSE 0e0 END AS ok, CASE WHEN fm.r IS NOT NULL OR nm.r IS NOT NULL THEN 0 ELSE greatest(1, coalesce(tg, 1)) * tm END AS ts FROM zn LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN nm ON nm.r = zn.r AND nm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c), h AS (SELECT *, sum(ok) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM t), k AS (SELECT *, sum(a) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM h) SELECT r, c, round(CASE WHEN ok = 1 THEN 700 * (1 - b / 25) + 300 * least(greatest(ts / 1000, 0), 1) ELSE 50000 END, 4) AS difficulty FROM k", RPZ)
+@query("tower_difficulty", f"WITH {_FIELDS}, t AS (SELECT zn.r, zn.c, slope, CASE WHEN fm.r IS NULL AND nm.r IS NULL AND NOT valley THEN 1e0 ELSE 0e0 END AS ok, CASE WHEN fm.r IS NOT NULL OR nm.r IS NOT NULL OR valley THEN 0 ELSE greatest(1, coalesce(tg, 1)) * tm END AS ts FROM zn LEFT JOIN fm ON fm.r = zn.r AND fm.c = zn.c LEFT JOIN nm ON nm.r = zn.r AND nm.c = zn.c LEFT JOIN gm ON gm.r = zn.r AND gm.c = zn.c), h AS (SELECT *, sum(ok) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM t), k AS (SELECT *, sum(a) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM h) SELECT r, c, round(CASE WHEN ok = 1 THEN 700 * (1 - b / 25) + 300 * least(greatest(ts / 1000, 0), 1) + 200 * greatest(slope - 25, 0) ELSE 50000 END, 4) AS difficulty FROM k", RPZ)
 def _(c):
-    g = G.tower_costs(layers(c)).withColumn("tower_ok", (~F.col("no_tower")).cast("int")).withColumn("slope", F.lit(None).cast("double"))
+    g = G.tower_costs(layers(c)).withColumn("tower_ok", (~F.col("no_tower")).cast("int"))
     return G.tower_difficulty(g).select("r", "c", F.round("difficulty", 4).alias("difficulty"))
 
 
@@ -299,7 +305,7 @@ def _(c):
 
 def terrain_stats(t):
     valid = F.avg(F.col("elev").isNotNull().cast("double"))
-    cover = F.when(valid >= 0.95, "full").when(valid >= 0.5, "partial").otherwise("insufficient")
+    cover = F.when(valid >= 0.95, "full").when(valid >= 0.5, "partial").otherwise("partial_low")
     return t.agg(F.round(F.avg(F.col("elev").isNull().cast("double")), 6).alias("nodata_ratio"), F.round(F.max("slope"), 4).alias("slope_max"), F.count_if("valley").alias("valleys"), F.count_if("peak").alias("peaks"), cover.alias("coverage"))
 
 
@@ -344,9 +350,9 @@ def _(c):
     return c.zones.select("zone_code", "ice_zone", F.when(F.col("ice_zone") >= 20, 45).otherwise(90).alias("by_ice"), F.col("max_turn").alias("by_table"))
 
 
-@query("edt", "SELECT a.r, a.c, round(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))), 4) AS distance FROM v_grid a LEFT JOIN v_grid b ON (b.r * 31 + b.c * 17) % 97 = 0 AND b.r BETWEEN 40 AND 80 AND abs(a.r - b.r) <= 20 AND abs(a.c - b.c) <= 20 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 400 GROUP BY a.r, a.c", V)
+@query("edt", "SELECT a.r, a.c, round(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))), 4) AS distance FROM v_grid a LEFT JOIN v_grid b ON (b.r * 31 + b.c * 17) % 97 = 0 AND b.r BETWEEN 40 AND 80 GROUP BY a.r, a.c", V)
 def _(c):
-    return G.distance_to(c.grid.withColumn("bad", F.col("elev").isNull() & F.col("r").between(40, 80)).select("r", "c", "bad"), "bad", 20).select("r", "c", F.round("distance", 4).alias("distance"))
+    return G.distance_to(c.grid.withColumn("bad", F.col("elev").isNull() & F.col("r").between(40, 80)).select("r", "c", "bad"), "bad").select("r", "c", F.round("distance", 4).alias("distance"))
 
 
 @query("first_dem", "SELECT * FROM (VALUES ('DEM', 2, 'b/dem1.tif'), ('WIND_ICE_ZONE', 1, 'a/ice.tif')) AS t(kind, position, path)")
