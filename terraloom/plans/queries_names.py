@@ -63,9 +63,9 @@ def _(c):
     return counts.unpivot([], keys, "resolution_path", "n")
 
 
-@query("protection_coverage", f"WITH {_PARSED} SELECT rule_id, level1, level2, buffer_m FROM rules WHERE buffer_m > 0 AND level2 NOT IN (SELECT base_level2 FROM pr WHERE variant = 'protection' AND fid % 7 = 0 UNION SELECT canonical_level2 FROM pr WHERE variant = 'protection' AND fid % 7 = 0)", LY)
+@query("protection_coverage", f"WITH {_PARSED} SELECT rule_id, level1, level2, buffer_m FROM rules WHERE buffer_m > 0 AND level2 NOT IN (SELECT base_level2 FROM pr WHERE variant = 'protection' AND fid % 101 = 0 UNION SELECT canonical_level2 FROM pr WHERE variant = 'protection' AND fid % 101 = 0)", LY)
 def _(c):
-    return ingest.protection_coverage(ingest.variant_inventory(_parsed(c).filter("fid % 7 = 0")), c.rules)
+    return ingest.protection_coverage(ingest.variant_inventory(_parsed(c).filter("fid % 101 = 0")), c.rules)
 
 
 @query("theme_map", "SELECT f.fid, r.level1, r.level2 FROM (SELECT fid, str_split(folder, '/')[-1] AS theme FROM v_layer) f JOIN lookups l ON l.kind = 'theme' AND l.phrase = f.theme JOIN rules r ON CAST(r.rule_id AS VARCHAR) = l.means", LY)
@@ -119,7 +119,33 @@ def _(c):
     return _features(c).select("fid", "raw_level1", "raw_level2")
 
 
-@query("semantic_map", f"WITH {_PARSED} SELECT pr.fid, pr.level1 AS std_level1, pr.base_level2 AS std_level2, r.rule_id AS std_rule_id, 'path_deterministic' AS mapping_method, CAST(1 AS DOUBLE) AS mapping_confidence FROM pr JOIN rules r ON r.level2 = canonical_level2 UNION ALL SELECT pr.fid, r.level1, r.level2, r.rule_id, 'deterministic_theme', 1.0 FROM pr JOIN lookups l ON l.kind = 'theme' AND l.phrase = str_split(pr.folder, '/')[-1] JOIN rules r ON CAST(r.rule_id AS VARCHAR) = l.means WHERE pr.canonical_level2 NOT IN (SELECT level2 FROM rules)", LY)
+#: Names with the class and score that the published matching rules give them, and whether the name as a layer is scored alike.
+_GOLDEN = [("省道", "省道", "1e0", "true"), ("自然保护区 核心区", "自然保护区核心区", "95e-2", "false"), ("35 kV 架空线", "35kV输电线路", "9e-1", "false"), ("±500 kV直流", "±500kV输电线路", "9e-1", "false"), ("10kV线路", "110kV输电线路", "9e-1", "false"), ("高速公路网", "高速公路", "8e0 / 9", "true"), ("通航河道", "通航河流", "75e-2", "true"), ("变电所", "变电站", "2e0 / 3", "true"), ("水库", "炸药库", "4e-1", "true")]
+_CASES = f"""g AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', '{b}', CAST({x} AS DOUBLE), {alike})" for i, (n, b, x, alike) in enumerate(_GOLDEN))}) AS t(k, name, l2, score, alike)),
+f AS (SELECT p_partkey AS fid, p_partkey % 6 AS kind, g.*, r.level1 AS l1 FROM part JOIN g ON g.k = p_partkey % 9 JOIN rules r ON r.level2 = g.l2),
+d AS (SELECT *, CASE WHEN kind = 0 OR (kind = 1 AND name = l2) THEN 'path_deterministic' WHEN kind = 1 AND score >= 85e-2 THEN 'path_fuzzy_auto' WHEN kind = 2 THEN 'deterministic_theme' WHEN kind = 3 AND score >= 6e-1 THEN 'path_l1_field_l2_' || CASE WHEN score >= 85e-2 THEN 'auto' ELSE 'review' END WHEN kind IN (1, 3) THEN 'path_l1_only' WHEN kind = 4 AND score >= 6e-1 THEN 'fuzzy_' || CASE WHEN score >= 85e-2 THEN 'auto' ELSE 'review' END WHEN kind = 5 AND alike AND score >= 6e-1 THEN 'layer_name_' || CASE WHEN score >= 85e-2 THEN 'auto' ELSE 'review' END ELSE 'unmapped' END AS how FROM f),
+e AS (SELECT fid, how, CASE WHEN how = 'path_deterministic' THEN '路径' WHEN how = 'deterministic_theme' THEN t.level1 WHEN how = 'path_l1_only' THEN '路径' WHEN how = 'unmapped' THEN 'UNKNOWN' ELSE l1 END AS a, CASE WHEN kind = 0 THEN '高速公路' WHEN how = 'deterministic_theme' THEN t.level2 WHEN how IN ('path_l1_only', 'unmapped') THEN 'UNKNOWN' ELSE l2 END AS b, CASE WHEN how IN ('path_deterministic', 'deterministic_theme') THEN 1 WHEN how = 'path_l1_only' THEN 5e-1 WHEN how = 'unmapped' THEN 0 ELSE score END AS s FROM d CROSS JOIN (SELECT r.level1, r.level2 FROM lookups l JOIN rules r ON CAST(r.rule_id AS VARCHAR) = l.means WHERE l.kind = 'theme' AND l.phrase = '永久基本农田') t)"""
+
+
+def _named(c):
+    """Features that need every method: a sure path, a path like a class, a theme, attributes with and without a path, a layer name."""
+    name = F.element_at(F.array(*[F.lit(g[0]) for g in _GOLDEN]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    kind = F.col("p_partkey") % 6
+    at = lambda *which: kind.isin(*which)
+    alike = F.element_at(F.array(*[F.lit(g[3] == "true") for g in _GOLDEN]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return c.table("part").select(
+        F.col("p_partkey").alias("fid"), F.when(at(0, 1, 3), "路径").alias("path_level1"), F.when(at(0), "高速公路").alias("path_level2"), F.when(at(1), name).alias("path_canonical"), F.when(at(2), "永久基本农田").alias("theme"),
+        F.lit(" ").alias("raw_level1"), F.when(at(3, 4), name).alias("raw_level2"), F.when(at(5) & alike, name).alias("layer"),
+    )
+
+
+@query("semantic_map", f"WITH {_CASES} SELECT e.fid, a AS std_level1, b AS std_level2, coalesce(r.rule_id, -1) AS std_rule_id, how AS mapping_method, round(s, 6) AS mapping_confidence FROM e LEFT JOIN rules r ON r.level2 = e.b", ("rules", "lookups"))
+def _(c):
+    """All eleven methods occur."""
+    return classify.classify(_named(c)).select("fid", "std_level1", "std_level2", "std_rule_id", "mapping_method", F.round("mapping_confidence", 6).alias("mapping_confidence"))
+
+
+@query("semantic_layers", f"WITH {_PARSED} SELECT pr.fid, pr.level1 AS std_level1, pr.base_level2 AS std_level2, r.rule_id AS std_rule_id, 'path_deterministic' AS mapping_method, CAST(1 AS DOUBLE) AS mapping_confidence FROM pr JOIN rules r ON r.level2 = canonical_level2 UNION ALL SELECT pr.fid, r.level1, r.level2, r.rule_id, 'deterministic_theme', 1.0 FROM pr JOIN lookups l ON l.kind = 'theme' AND l.phrase = str_split(pr.folder, '/')[-1] JOIN rules r ON CAST(r.rule_id AS VARCHAR) = l.means WHERE pr.canonical_level2 NOT IN (SELECT level2 FROM rules)", LY)
 def _(c):
     return classify.classify(_features(c)).filter("mapping_method IN ('path_deterministic', 'deterministic_theme')").select("fid", "std_level1", "std_level2", "std_rule_id", "mapping_method", "mapping_confidence")
 
