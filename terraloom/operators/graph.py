@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraloom.operators.spatial import within
+from terraloom.operators.spatial import nearest, within
 from terraloom.rules import FORBIDDEN
 from terraloom.storage import table
 
@@ -43,7 +43,7 @@ def number(nodes: DataFrame) -> DataFrame:
     """fid by (br, bc, r, c): counts per row of blocks, then ranks within, so no single task orders all nodes."""
     per = nodes.groupBy("br").count()
     before = per.select("br", (F.sum("count").over(W.orderBy("br").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("_b"))
-    return nodes.join(F.broadcast(before), "br").withColumn("fid", F.col("_b") + F.row_number().over(W.partitionBy("br").orderBy("bc", "r", "c")) - 1).drop("_b")
+    return nodes.join(before, "br").withColumn("fid", F.col("_b") + F.row_number().over(W.partitionBy("br").orderBy("bc", "r", "c")) - 1).drop("_b")
 
 
 def edge_samples(pairs: DataFrame, res: float, top: float) -> DataFrame:
@@ -103,6 +103,17 @@ def connectivity(edges: DataFrame, start: int | None = None, end: int | None = N
     return size.crossJoin(F.broadcast(both))
 
 
+def navigation(nodes: DataFrame, controls: DataFrame, factor: float = 4.0, least: float = 500.0, most: float = 1500.0, budget: int = 600_000) -> tuple[DataFrame, DataFrame]:
+    """(all nodes, candidate edges): control nodes follow the others in number; the cutoff is a multiple of the median distance to the nearest node, between two bounds."""
+    first = (nodes.agg(F.max("fid")).first()[0] or 0) + 1
+    more = controls.select((F.row_number().over(W.orderBy("node_type", "seq", "x", "y")) - 1 + first).cast("long").alias("fid"), "x", "y")  # controls are few, set by hand
+    every = table(nodes.select(F.col("fid").cast("long").alias("fid"), "x", "y").unionByName(more), "nodes")
+    own = every.select("fid", "x", "y", F.lit(0).alias("_all"))
+    near = nearest(own, own.select(F.col("fid").alias("sid"), "x", "y", "_all", F.lit(0).alias("_v")), "_all", "_v", same=True)
+    middle = near.agg(F.percentile("distance", F.lit(0.5))).first()[0]
+    return every, candidate_edges(every, max(least, min(most, factor * (middle or 0.0))), budget, least)
+
+
 def control_nodes(controls: DataFrame) -> DataFrame:
     """Nodes of control points (ctrl_kind, seq, type, x, y)."""
     kind = F.when(F.col("ctrl_kind") == "start_end", F.concat(F.lit("start_end_"), F.coalesce("type", F.lit("waypoint")))).otherwise(F.col("ctrl_kind"))

@@ -1,146 +1,10 @@
-"""Channel polygons: centrelines, widths, wide parts. One polygon is one row; kernels run per row on Arrow batches."""
+"""Circles through stations of rivers, from sums alone."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CENTER = "fid long, i int, x double, y double, width double"
-
-
-def chords(ring: np.ndarray, p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Inner chords (n, 2) of the line through p along t, as distances from p, by alternate pairs of its crossings."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    e = b - a
-    cross = e[:, 0] * t[1] - e[:, 1] * t[0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w = p - a
-        s = (w[:, 0] * t[1] - w[:, 1] * t[0]) / cross
-        d = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / cross
-    hit = np.sort(d[(cross != 0) & (s >= 0) & (s < 1)])
-    return hit[: len(hit) // 2 * 2].reshape(-1, 2)
-
-
-def axis(ring: np.ndarray) -> np.ndarray:
-    """Unit direction of the longest spread of the border, edges weighted by length."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    m, w = (a + b) / 2, np.hypot(*(b - a).T)
-    c = m - np.average(m, axis=0, weights=w)
-    _, v = np.linalg.eigh((c * w[:, None]).T @ c)
-    return v[:, -1]
-
-
-def center(ring: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
-    """Midpoints and widths of the widest inner chord at stations across the main axis, pulled onto cross sections twice."""
-    t = axis(ring)
-    origin = ring.mean(axis=0)
-    along = (ring - origin) @ t
-    stations = np.arange(along.min() + interval / 2, along.max(), interval)
-    mids, widths = [], []
-    for s in stations:
-        p = origin + t * s
-        own = chords(ring, p, np.array([-t[1], t[0]]))
-        if len(own):
-            k = int(np.argmax(own[:, 1] - own[:, 0]))
-            mids.append(p + own[k].mean() * np.array([-t[1], t[0]]))
-            widths.append(own[k, 1] - own[k, 0])
-    pts, w = np.array(mids).reshape(-1, 2), np.array(widths)
-    for _ in range(2 if len(pts) > 2 else 0):
-        g = np.gradient(pts, axis=0)
-        g /= np.maximum(np.hypot(*g.T), 1e-9)[:, None]
-        for j in range(1, len(pts) - 1):
-            n = np.array([-g[j, 1], g[j, 0]])
-            own = chords(ring, pts[j], n)
-            inside = own[(own[:, 0] <= 0) & (own[:, 1] >= 0)]
-            if len(inside):
-                pts[j], w[j] = pts[j] + inside[0].mean() * n, inside[0, 1] - inside[0, 0]
-    return pts, w
-
-
-def centerlines(polygons: DataFrame, interval: float = 100.0) -> DataFrame:
-    """(fid, i, x, y, width) for polygons (fid, xs, ys): stations of each centreline with smoothed widths."""
-
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for fid, xs, ys in zip(pdf["fid"], pdf["xs"], pdf["ys"], strict=True):
-                if xs is None or len(xs) < 3:
-                    continue
-                pts, w = center(np.column_stack([xs, ys]).astype(float), interval)
-                smooth = pd.Series(w).rolling(5, center=True, min_periods=1).median().to_numpy()
-                out.append(pd.DataFrame({"fid": fid, "i": np.arange(len(pts), dtype=np.int32), "x": pts[:, 0], "y": pts[:, 1], "width": smooth}))
-            if out:
-                yield pd.concat(out)
-
-    return polygons.select("fid", "xs", "ys").mapInPandas(work, CENTER)
-
-
-def inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    a, b = ring, np.roll(ring, -1, axis=0)
-    up = (a[:, 1] > y[:, None]) != (b[:, 1] > y[:, None])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[:, 0] + (y[:, None] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-    return (up & (x[:, None] < at)).sum(axis=1) % 2 == 1
-
-
-def _erode(m: np.ndarray, r: int) -> np.ndarray:
-    """Cells whose disc of r cells lies in m, by distance along columns, then rows."""
-    far = np.full(m.shape, 10**6)
-    for j in range(m.shape[1]):
-        bad = np.flatnonzero(~m[:, j])
-        if len(bad):
-            k = np.searchsorted(bad, np.arange(m.shape[0]))
-            far[:, j] = np.minimum(np.abs(np.arange(m.shape[0]) - bad[np.maximum(k - 1, 0)]), np.abs(bad[np.minimum(k, len(bad) - 1)] - np.arange(m.shape[0])))
-    out = np.ones(m.shape, bool)
-    for s in range(-r, r + 1):
-        moved = np.full(m.shape, 10**6)
-        if s >= 0:
-            moved[:, : m.shape[1] - s] = far[:, s:]
-        else:
-            moved[:, -s:] = far[:, :s]
-        out &= moved**2 + s * s > r * r
-    return out & m
-
-
-def wide_parts(polygons: DataFrame, threshold: float, cell: float) -> DataFrame:
-    """(fid, area, wide_area, narrow_area): opening of each polygon by a disc of half the threshold, on cells of the given size."""
-
-    def work(batches):
-        for pdf in batches:
-            rows = []
-            for fid, xs, ys in zip(pdf["fid"], pdf["xs"], pdf["ys"], strict=True):
-                ring = np.column_stack([xs, ys]).astype(float)
-                lo, hi = ring.min(axis=0), ring.max(axis=0)
-                r = max(1, int(round(threshold / 2 / cell)))
-                n = np.ceil((hi - lo) / cell).astype(int) + 2 * r + 2
-                gx, gy = lo[0] + (np.arange(n[0]) - r - 0.5) * cell, lo[1] + (np.arange(n[1]) - r - 0.5) * cell
-                m = inside(ring, np.tile(gx, n[1]), np.repeat(gy, n[0])).reshape(n[1], n[0])
-                core = _erode(m, r)
-                wide = ~_erode(~core, r) & m if core.any() else np.zeros_like(m)
-                rows.append((fid, m.sum() * cell**2, wide.sum() * cell**2, (m & ~wide).sum() * cell**2))
-            if rows:
-                yield pd.DataFrame(rows, columns=["fid", "area", "wide_area", "narrow_area"])
-
-    return polygons.select("fid", "xs", "ys").mapInPandas(work, "fid long, area double, wide_area double, narrow_area double")
-
-
-def trim_ends(stations: DataFrame, taper: float = 0.7, most: float = 0.3) -> DataFrame:
-    """Cuts tapered ends: stations narrower than a share of the median of the five further in, at most a share of the line a side."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        w, lo, hi = pdf["width"].to_numpy(), 0, len(pdf)
-        limit = int(len(pdf) * most)
-        while lo < limit and w[lo] < taper * np.median(w[lo + 1 : lo + 6]):
-            lo += 1
-        while len(pdf) - hi < limit and w[hi - 1] < taper * np.median(w[max(hi - 6, 0) : hi - 1]):
-            hi -= 1
-        return pdf.iloc[lo:hi]
-
-    return stations.groupBy("fid").applyInPandas(work, CENTER)
-
 
 def fit_circle(points: DataFrame) -> DataFrame:
     """Least-squares circle (Kasa) of the points (fid, x, y) by fid, from sums alone."""
@@ -150,22 +14,3 @@ def fit_circle(points: DataFrame) -> DataFrame:
     det = F.nullif(F.round(F.col("uu") * F.col("vv") - F.col("uv") ** 2, 9), F.lit(0.0))
     a, b = (F.col("p") * F.col("vv") - F.col("q") * F.col("uv")) / (2 * det), (F.col("q") * F.col("uu") - F.col("p") * F.col("uv")) / (2 * det)
     return s.select("fid", (F.col("mx") + a).alias("cx"), (F.col("my") + b).alias("cy"), F.sqrt(a**2 + b**2 + (F.col("uu") + F.col("vv")) / F.col("n")).alias("radius"))
-
-
-def repair(polygons: DataFrame) -> DataFrame:
-    """(fid, fix_type, area): rings without area are discarded, repeated points and turned rings are put right, others stay."""
-
-    def work(batches):
-        for pdf in batches:
-            rows = []
-            for fid, xs, ys in zip(pdf["fid"], pdf["xs"], pdf["ys"], strict=True):
-                p = np.column_stack([xs, ys]).astype(float) if xs is not None else np.zeros((0, 2))
-                keep = np.ones(len(p), bool)
-                keep[1:] = (np.diff(p, axis=0) != 0).any(axis=1)
-                q = p[keep & np.isfinite(p).all(axis=1)]
-                area = 0.0 if len(q) < 3 else float((q[:, 0] * np.roll(q[:, 1], -1) - np.roll(q[:, 0], -1) * q[:, 1]).sum() / 2)
-                rows.append((fid, "discarded" if abs(area) < 1e-9 else "made_valid" if len(q) < len(p) or area < 0 else None, abs(area)))
-            if rows:
-                yield pd.DataFrame(rows, columns=["fid", "fix_type", "area"])
-
-    return polygons.select("fid", "xs", "ys").mapInPandas(work, "fid long, fix_type string, area double")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraloom.functions.geometry import overlap
+from terraloom.storage import table
 
 
 def _bin(c: Column, size: float) -> Column:
@@ -32,28 +32,6 @@ def overlap_area() -> Column:
     return overlap(F.col("a_xmin"), F.col("a_xmax"), F.col("b_xmin"), F.col("b_xmax")) * overlap(F.col("a_ymin"), F.col("a_ymax"), F.col("b_ymin"), F.col("b_ymax"))
 
 
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """Exact area of the union of boxes by key: per vertical strip between edges, the merged intervals of the boxes in it.
-
-    A strip is as wide as two neighbouring edges of its key, so work is spread over strips, not keys.
-    """
-    edges = boxes.select(key, F.explode(F.array("xmin", "xmax")).alias("x")).distinct()
-    strips = edges.withColumn("x2", F.lead("x").over(W.partitionBy(key).orderBy("x"))).filter("x2 IS NOT NULL")
-    inside = strips.join(boxes, key).filter("xmin <= x AND xmax >= x2")
-    w = W.partitionBy(key, "x").orderBy("ymin", "ymax")
-    reach = inside.withColumn("_r", F.max("ymax").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    new = F.greatest(F.lit(0.0), F.col("ymax") - F.greatest(F.col("ymin"), F.coalesce("_r", "ymin")))
-    return reach.groupBy(key).agg(F.sum(new * (F.col("x2") - F.col("x"))).alias("area"))
-
-
-def coverage(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """For each box of a (fid, xmin, ...) that boxes of b cover in part: the area covered, overlaps counted once, and its share."""
-    pairs = box_pairs(a, b, size)
-    cut = pairs.select(F.col("a_fid").alias("fid"), F.greatest("a_xmin", "b_xmin").alias("xmin"), F.greatest("a_ymin", "b_ymin").alias("ymin"), F.least("a_xmax", "b_xmax").alias("xmax"), F.least("a_ymax", "b_ymax").alias("ymax"))
-    whole = a.select("fid", ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("_whole"))
-    return union_area(cut, "fid").join(whole, "fid").select("fid", "area", F.least(F.lit(1.0), F.col("area") / F.col("_whole")).alias("ratio"))
-
-
 def within(points: DataFrame, cutoff: float) -> DataFrame:
     """Pairs (a, b, d) with a < b of points (fid, x, y) no farther apart than cutoff: bins of that size and their neighbours."""
     own = points.select("fid", "x", "y", _bin(F.col("x"), cutoff).alias("cx"), _bin(F.col("y"), cutoff).alias("cy"))
@@ -64,11 +42,35 @@ def within(points: DataFrame, cutoff: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).filter("a < b").withColumn("d", d).filter(F.col("d") <= cutoff).select("a", "b", "ax", "ay", "bx", "by", "d")
 
 
-def nearest(points: DataFrame, others: DataFrame, key: str, value: str) -> DataFrame:
-    """Each point (fid, x, y, key) with the value of the nearest of the others (key, sid, x, y, value) of its key, lower sid on ties."""
-    b = others.select(key, F.col("sid"), F.col("x").alias("_x"), F.col("y").alias("_y"), value)
-    d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    return points.join(b, key).groupBy("fid", key).agg(F.min_by(value, F.struct(d, "sid")).alias(value))
+def nearest(points: DataFrame, others: DataFrame, key: str, value: str, start: float = 500.0, same: bool = False) -> DataFrame:
+    """(fid, key, value, distance) for each point (fid, x, y, key): the nearest of the others (key, sid, x, y, value) of its key, lower sid on ties.
+
+    Points look in bins of a size and their neighbours; those that find none look
+    again in bins four times as wide, so each finds its nearest one however far
+    it is, and none is compared with all. With `same`, sid = fid is left out.
+    """
+    left = table(points.select("fid", key, "x", "y"), "nearest-left")
+    right = table(others.select(key, "sid", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).alias("_value")), "nearest-others")
+    ends = left.select("x", "y").union(right.select("_x", "_y")).agg(*[f(c) for c in ("x", "y") for f in (F.max, F.min)]).first()
+    span = max(start, (ends[0] or 0.0) - (ends[1] or 0.0), (ends[2] or 0.0) - (ends[3] or 0.0)) * 1.5
+    found, size = None, start
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    while True:
+        a = left.withColumns({"_i": F.explode(step)}).withColumn("_j", F.explode(step)).withColumns({"_cx": _bin(F.col("x"), size) + F.col("_i"), "_cy": _bin(F.col("y"), size) + F.col("_j")})
+        b = right.withColumns({"_cx": _bin(F.col("_x"), size), "_cy": _bin(F.col("_y"), size)})
+        d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+        met = a.join(b, [key, "_cx", "_cy"]).withColumn("_d", d).filter(F.col("_d") <= size)
+        if same:
+            met = met.filter("fid <> sid")
+        hit = met.groupBy("fid", key).agg(F.min_by("_value", F.struct("_d", "sid")).alias(value), F.min("_d").alias("distance"))
+        hit = table(hit, "nearest-found")
+        found = hit if found is None else found.unionByName(hit)
+        if size > span:
+            return found
+        left = table(left.join(hit.select("fid"), "fid", "left_anti"), "nearest-left")
+        if left.isEmpty():
+            return found
+        size *= 4
 
 
 def inside_ring(ring: Column, x: Column, y: Column) -> Column:

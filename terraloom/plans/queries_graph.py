@@ -93,9 +93,16 @@ def _(c):
     return graph.check_edges(_pairs(c), cells(c), RES, TOP).select("a", "b", F.round("avg_lpcf", 4).alias("avg_lpcf"))
 
 
-@query("skeleton_edges", f"WITH {_EDGE} SELECT a, b, round(d, 1) AS distance_m, round(v, 4) AS avg_lpcf, round(d * greatest(v, 1e-1), 4) AS edge_cost FROM eg WHERE NOT f AND d >= 1", V)
+_CONTROL = "cd AS (SELECT row_number() OVER (ORDER BY node_type, seq, x, y) - 1 AS k, x, y FROM (SELECT CASE WHEN ctrl_kind = 'start_end' THEN 'start_end_' || type ELSE ctrl_kind END AS node_type, seq, x, y FROM v_ctrl) t)"
+_ALL = f"{_PICK}, {_CONTROL}, al AS (SELECT fid, x, y FROM nd UNION ALL SELECT (SELECT max(fid) FROM nd) + 1 + k, x, y FROM cd), nn AS (SELECT a.fid, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM al a JOIN al b ON a.fid <> b.fid GROUP BY a.fid), ct AS (SELECT least(greatest(4 * median(sqrt(d2)), 500), 1500) AS m FROM nn)"
+_NAV = _EDGE.replace(_PICK, _ALL).replace("FROM nd a JOIN nd b ON a.fid < b.fid AND abs(a.x - b.x) <= 350 AND abs(a.y - b.y) <= 350 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 122500", "FROM al a JOIN al b ON a.fid < b.fid CROSS JOIN ct WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= m * m").replace("FROM sc JOIN ce ON", "FROM sc LEFT JOIN ce ON").replace("bool_or(ce.bad)", "coalesce(bool_or(ce.bad), false)")
+
+
+@query("skeleton_edges", f"WITH {_NAV} SELECT a, b, round(d, 1) AS distance_m, round(v, 4) AS avg_lpcf, round(d * greatest(v, 1e-1), 4) AS edge_cost FROM eg WHERE NOT f AND d >= 1", ("grid", "ctrl"))
 def _(c):
-    return graph.check_edges(_pairs(c), cells(c), RES, TOP).select("a", "b", F.round("d", 1).alias("distance_m"), F.round("avg_lpcf", 4).alias("avg_lpcf"), F.round("edge_cost", 4).alias("edge_cost"))
+    """Control nodes included, the cutoff from the nodes themselves."""
+    _, pairs = graph.navigation(nodes(c), graph.control_nodes(c.ctrl))
+    return graph.check_edges(pairs, cells(c), RES, TOP).select("a", "b", F.round("d", 1).alias("distance_m"), F.round("avg_lpcf", 4).alias("avg_lpcf"), F.round("edge_cost", 4).alias("edge_cost"))
 
 
 @query("connected_components", "WITH RECURSIVE e AS (SELECT a.fid AS a, b.fid AS b FROM v_point a JOIN v_point b ON a.fid <> b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 90000), w AS (SELECT a AS v, a AS u FROM e UNION SELECT w.v, e.b FROM w JOIN e ON e.a = w.u) SELECT v, min(u) AS c FROM w GROUP BY v", PT)

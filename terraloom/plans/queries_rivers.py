@@ -4,45 +4,100 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import rivers
+from terraloom.operators import channel, polygons, rivers
 from terraloom.plans.registry import query
 
 P = ("poly",)
 
 
-def _rings(c):
-    return c.poly.select("fid", F.array("xmin", "xmax", "xmax", "xmin").alias("xs"), F.array("ymin", "ymin", "ymax", "ymax").alias("ys"))
+def _rivers(c):
+    """Boxes as channels."""
+    return c.poly.withColumn("rings", F.array(polygons.ring(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))))
 
 
-@query("centerline", None)
+#: Boxes of at least this length to width are walked from end to end along their middle.
+_LONG = "xmax - xmin >= 6 * (ymax - ymin)"
+
+
+@query("centerline", f"SELECT fid, round((ymin + ymax) / 2, 3) AS y0, round((ymin + ymax) / 2, 3) AS y1, round(ymax - ymin, 3) AS width, true AS whole FROM v_poly WHERE {_LONG} AND fid % 4 = 0", P)
+def _(c):
+    """Long boxes: all but the ends of the line keep to the middle, it has the box's width and most of its length."""
+    s = channel.stations(_rivers(c).filter(_LONG).filter("fid % 4 = 0"), 50.0)
+    g = s.groupBy("fid").agg(F.percentile("y", F.lit(0.25)).alias("y0"), F.percentile("y", F.lit(0.75)).alias("y1"), F.percentile("width", F.lit(0.5)).alias("width"), F.min("x").alias("x0"), F.max("x").alias("x1")).join(c.poly.select("fid", "xmin", "xmax"), "fid")
+    return g.select("fid", F.round("y0", 3).alias("y0"), F.round("y1", 3).alias("y1"), F.round("width", 3).alias("width"), (F.col("x1") - F.col("x0") >= 0.8 * (F.col("xmax") - F.col("xmin"))).alias("whole"))
+
+
+_ROUND = "2500 * (4 - 16 * sin(pi() / 16))"
+
+
+@query("river_wide", f"SELECT fid, round((xmax - xmin) * (ymax - ymin) - {_ROUND}, 1) AS area FROM v_poly WHERE fid % 5 = 0 AND least(xmax - xmin, ymax - ymin) > 100", P)
 def _(c):
-    return rivers.centerlines(_rings(c), 50.0)
+    """Opened by a disc of half of 100 m, a box loses its corners, or everything."""
+    wide, _ = channel.analysis(_rivers(c).filter("fid % 5 = 0"), 100.0)
+    return wide.select("fid", F.round("area", 1).alias("area"))
+
+
+@query("river_split", f"SELECT fid, round(CASE WHEN least(xmax - xmin, ymax - ymin) > 100 THEN {_ROUND} ELSE (xmax - xmin) * (ymax - ymin) END, 1) AS narrow FROM v_poly WHERE fid % 5 = 0", P)
+def _(c):
+    """What the barrier leaves of each river."""
+    own = _rivers(c).filter("fid % 5 = 0")
+    wide, _ = channel.analysis(own, 100.0)
+    both = own.select("fid", "rings").join(wide.select("fid", F.col("rings").alias("wide")), "fid", "left")
+    rest = polygons.boolean(F.col("rings"), F.when(F.col("wide").isNotNull(), F.array("wide")).otherwise(F.array().cast(f"array<{polygons.RINGS}>")), "difference")
+    return both.select("fid", F.round(polygons.area(rest), 1).alias("narrow"))
+
+
+@query("river_analysis", f"SELECT fid, round(ymax - ymin, 3) AS width, true AS straight FROM v_poly WHERE {_LONG} AND fid % 4 = 1 AND ymax - ymin < 100", P)
+def _(c):
+    """Narrow legs of long boxes: along the middle but for the ends, and of the box's width."""
+    own = _rivers(c).filter(_LONG).filter("fid % 4 = 1")
+    _, narrow = channel.analysis(own, 100.0, 50.0)
+    g = narrow.groupBy("fid").agg(F.percentile("width", F.lit(0.5)).alias("width"), F.percentile(F.abs(F.col("y2") - F.col("y1")), F.lit(0.5)).alias("d"))
+    return g.select("fid", F.round("width", 3).alias("width"), (F.col("d") < 1e-6).alias("straight"))
+
+
+def _path(n: int, y, width):
+    """n stations 50 m apart, y and width by number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 50.0).alias("x"), y(i).alias("y"), width(i).alias("width")))
 
 
-@query("river_wide", None)
+@query("trim_taper", "SELECT fid, CAST(20 - fid % 4 - fid % 3 AS INT) AS n, (fid % 4) * 5e1 AS x0 FROM v_poly", P)
 def _(c):
-    return rivers.wide_parts(_rings(c).filter("fid % 10 = 0"), 100.0, 10.0)
+    """Ends of up to three narrow stations go, others stay."""
+    zero = lambda i: F.lit(0.0)
+    path = _path(20, zero, lambda i: F.when((i < F.col("fid") % 4) | (i >= 20 - F.col("fid") % 3), 30.0).otherwise(100.0))
+    cut = c.poly.select("fid", path.alias("p")).select("fid", channel.repaired("p", None, "taper").alias("p"))
+    return cut.select("fid", F.size("p").alias("n"), F.col("p")[0]["x"].alias("x0"))
 
 
-@query("river_split", "SELECT fid, (xmax - xmin) * (ymax - ymin) AS area, true AS whole FROM v_poly WHERE fid % 10 = 0", P)
+@query("trim_hooks", "SELECT fid, CAST(20 AS INT) AS n, CASE WHEN fid % 2 = 0 THEN 5e1 ELSE 0 END AS x0 FROM (SELECT fid FROM v_poly) t", P)
 def _(c):
-    parts = rivers.wide_parts(_rings(c).filter("fid % 10 = 0"), 100.0, 5.0)
-    return parts.select("fid", "area", (F.abs(F.col("wide_area") + F.col("narrow_area") - F.col("area")) < 1e-6).alias("whole"))
+    """A first station that lies beyond the third makes the line turn back at the second: it goes, and so does nothing else."""
+    plain = _path(20, lambda i: F.lit(0.0), lambda i: F.lit(100.0))
+    back = F.concat(F.array(F.struct(F.lit(130.0).alias("x"), F.lit(20.0).alias("y"), F.lit(100.0).alias("width"))), F.slice(_path(21, lambda i: F.lit(0.0), lambda i: F.lit(100.0)), 2, 20))
+    cut = c.poly.select("fid", F.when(F.col("fid") % 2 == 0, back).otherwise(plain).alias("p")).select("fid", channel.repaired("p", None, "hooks").alias("p"))
+    return cut.select("fid", F.size("p").alias("n"), F.col("p")[0]["x"].alias("x0"))
 
 
-@query("river_analysis", None)
+@query("densify_line", "SELECT fid, CAST(CASE WHEN fid % 2 = 0 THEN 3 ELSE 2 END AS INT) AS n, CASE WHEN fid % 2 = 0 THEN 5e0 END AS y FROM v_poly", P)
 def _(c):
-    s = rivers.trim_ends(rivers.centerlines(_rings(c), 50.0))
-    return s.groupBy("fid").agg(F.count("*").alias("stations"), F.percentile("width", F.lit(0.5)).alias("median_width"))
+    """Between the arms of a U, whose base is 10 m high, a leg leaves the water: it gets a station in the base."""
+    u = F.array(polygons.ring(*[(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (60, 0), (60, 100), (40, 100), (40, 10), (20, 10), (20, 100), (0, 100))]))
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(20.0).alias("width"))
+    path = F.when(F.col("fid") % 2 == 0, F.array(at(10.0, 12.0), at(50.0, 12.0))).otherwise(F.array(at(10.0, 30.0), at(10.0, 80.0)))
+    got = c.poly.select("fid", u.alias("u"), path.alias("p")).select("fid", channel.repaired("p", "u", "densify").alias("p"))
+    return got.select("fid", F.size("p").alias("n"), F.when(F.size("p") == 3, F.col("p")[1]["y"]).alias("y"))
 
 
 @query("geometry_fix", "SELECT fid, CASE WHEN fid % 3 = 0 THEN 'made_valid' WHEN fid % 3 = 1 THEN 'discarded' END AS fix_type, CASE WHEN fid % 3 = 1 THEN 0 ELSE (xmax - xmin) * (ymax - ymin) END AS area FROM v_poly", P)
 def _(c):
-    turned = F.col("fid") % 3 == 0
-    flat = F.col("fid") % 3 == 1
-    xs = F.when(flat, F.array("xmin", "xmax", "xmin")).when(turned, F.array("xmin", "xmin", "xmin", "xmax", "xmax")).otherwise(F.array("xmin", "xmax", "xmax", "xmin"))
-    ys = F.when(flat, F.array("ymin", "ymin", "ymin")).when(turned, F.array("ymin", "ymax", "ymax", "ymax", "ymin")).otherwise(F.array("ymin", "ymin", "ymax", "ymax"))
-    return rivers.repair(c.poly.select("fid", xs.alias("xs"), ys.alias("ys")))
+    """Turned rings with a repeated point, rings without area, and valid ones."""
+    turned = polygons.ring(("xmin", "ymin"), ("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"))
+    flat = polygons.ring(("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymin"))
+    plain = polygons.ring(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))
+    rings = F.array(F.when(F.col("fid") % 3 == 0, turned).when(F.col("fid") % 3 == 1, flat).otherwise(plain))
+    fixed = c.poly.select("fid", polygons.repair(rings).alias("g"))
+    return fixed.select("fid", "g.fix_type", polygons.area(F.col("g.rings")).alias("area"))
 
 
 @query("reach_length", "SELECT fid, round(greatest(xmax - xmin, ymax - ymin), 4) AS reach_m FROM v_poly", P)

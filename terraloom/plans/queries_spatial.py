@@ -51,16 +51,15 @@ def _(c):
     return spatial.within(c.point, 700.0).select("a", "b", F.round("d", 4).alias("d"))
 
 
-def nn_distances(points, cutoff: float):
-    """Distance to the nearest other point within cutoff."""
-    pairs = spatial.within(points, cutoff)
-    both = pairs.select(F.col("a").alias("fid"), "d").union(pairs.select("b", "d"))
-    return both.groupBy("fid").agg(F.min("d").alias("nn"))
+def nn_distances(points):
+    """Distance to the nearest other point, however far."""
+    own = points.select("fid", "x", "y", F.lit(0).alias("_all"))
+    return spatial.nearest(own, own.select(F.col("fid").alias("sid"), "x", "y", "_all", F.lit(0).alias("_v")), "_all", "_v", same=True).select("fid", F.col("distance").alias("nn"))
 
 
-@query("nn_median", "WITH d AS (SELECT a.fid, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS nn FROM v_point a JOIN v_point b ON a.fid <> b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4000000 GROUP BY a.fid) SELECT round(median(nn), 4) AS nn_median, round(least(greatest(4 * median(nn), 500), 1500), 4) AS cutoff FROM d", ("point",))
+@query("nn_median", "WITH d AS (SELECT a.fid, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS nn FROM v_point a JOIN v_point b ON a.fid <> b.fid GROUP BY a.fid) SELECT round(median(nn), 4) AS nn_median, round(least(greatest(4 * median(nn), 500), 1500), 4) AS cutoff FROM d", ("point",))
 def _(c):
-    m = nn_distances(c.point, 2000.0).agg(F.percentile("nn", F.lit(0.5)).alias("m"))
+    m = nn_distances(c.point).agg(F.percentile("nn", F.lit(0.5)).alias("m"))
     return m.select(F.round("m", 4).alias("nn_median"), F.round(F.least(F.greatest(4 * F.col("m"), F.lit(500.0)), F.lit(1500.0)), 4).alias("cutoff"))
 
 

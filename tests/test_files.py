@@ -50,23 +50,49 @@ def test_raster_inventory(spark, tmp_path):
     assert rows["no.tif"].error
 
 
+def sine(amplitude, offset=30.0):
+    x = np.linspace(0, 2000, 201)
+    y = amplitude * np.sin(2 * np.pi * x / 1000)
+    return x, y, np.concatenate([np.column_stack([x, y + offset]), np.column_stack([x[::-1], y[::-1] - offset])])
+
+
 def test_centerline_follows_a_channel():
-    from terraloom.operators.rivers import center
+    """A channel of 2 km, 60 m wide, 2268 m along its middle: published figures are 122 points, 2247.0 m and a median width of 51.26 m."""
+    from terraloom.operators.channel import axis_scan, centerline, effective_length
 
-    x = np.linspace(0, 2000, 201)
-    y = 150 * np.sin(x / 250)
-    ring = np.concatenate([np.column_stack([x, y + 30]), np.column_stack([x[::-1], y[::-1] - 30])])
-    pts, w = center(ring, 100.0)
-    assert len(pts) >= 15 and np.abs(pts[:, 1] - 150 * np.sin(pts[:, 0] / 250)).max() < 12
-    assert 40 < np.median(w) < 66
+    x, y, ring = sine(121.3)
+    assert abs(np.hypot(np.diff(x), np.diff(y)).sum() - 2268.2) < 4
+    pts, w = centerline([ring], 100.0)
+    length = np.hypot(*np.diff(pts, axis=0).T).sum()
+    assert abs(len(pts) - 122) <= 3 and abs(length - 2247) < 25 and abs(np.median(w) - 51.26) < 1
+    assert np.abs(pts[:, 1] - 121.3 * np.sin(2 * np.pi * pts[:, 0] / 1000)).max() < 12
+    assert effective_length(pts, [ring]) > 0.99 * length
+    straight = np.array([(0, 0), (1000, 0), (1000, 100), (0, 100)], float)
+    pts, w = axis_scan([straight], 100.0)
+    assert pts[0, 0] < 1 and pts[-1, 0] > 999 and np.allclose(pts[:, 1], 50) and np.allclose(w, 100)  # ends carried on to the bank
+    assert len(centerline([np.array([(0, 0), (1, 0), (0, 0)], float)])[0]) == 0
 
 
-def test_wide_parts_split_a_dumbbell(spark):
-    from terraloom.operators.rivers import wide_parts
+def test_centerline_around_an_island():
+    from terraloom.functions.regions import contains
+    from terraloom.operators.channel import centerline
 
-    xs, ys = [0.0, 400.0, 400.0, 900.0, 900.0, 400.0, 400.0, 0.0], [0.0, 0.0, 180.0, 180.0, 220.0, 220.0, 400.0, 400.0]
-    r = wide_parts(spark.createDataFrame([(1, xs, ys)], "fid long, xs array<double>, ys array<double>"), 200.0, 10.0).first()
-    assert abs(r.wide_area + r.narrow_area - r.area) < 1e-6 and abs(r.narrow_area - (20000 + (4 - np.pi) * 100**2)) < 4000  # the link, and the corners that a disc of 100 m leaves
+    outer, island = np.array([(0, 0), (900, 0), (900, 120), (0, 120)], float), np.array([(400, 40), (500, 40), (500, 80), (400, 80)], float)
+    pts, _ = centerline([outer, island], 100.0)
+    assert len(pts) > 5 and contains([outer, island], *pts.T).all()
+
+
+
+def test_wide_parts_split_a_dumbbell(spark):
+    from terraloom.operators.channel import analysis
+
+    points = [(0, 0), (400, 0), (400, 180), (900, 180), (900, 220), (400, 220), (400, 400), (0, 400)]
+    rings = [[{"x": float(x), "y": float(y)} for x, y in points]]
+    wide, narrow = analysis(spark.createDataFrame([(1, rings)], "fid long, rings array<array<struct<x: double, y: double>>>"), 200.0)
+    corners = (4 - 16 * np.sin(np.pi / 16)) * 100**2  # what a disc of 100 m leaves
+    assert abs(wide.first().area - (160_000 - corners)) < 600  # and the wedges at the mouth of the link
+    legs = narrow.collect()
+    assert legs and all(r.width < 200 for r in legs) and max(r.x2 for r in legs) > 700
 
 
 def test_stream_routes_what_lands(spark, tmp_path):
