@@ -130,13 +130,12 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     grades = [t & (share >= np.median(share[t])), t & (kinds >= np.median(kinds[t])), t]
     fold = np.arange(len(y)) % FOLDS
     oof, weights = np.zeros((len(y), len(CATEGORIES))), []
+    folds = [(fold != k, x.take(fold != k), x.take(fold == k)) for k in range(FOLDS)]
     for c, g in enumerate(grades):
         target, before = g.astype(float), oof[:, :c]
-        for k in range(FOLDS):
-            inside = fold != k
-            w, v, b = linear.fit(x.take(inside), before[inside], target[inside])
-            out = ~inside
-            oof[out, c] = linear.sigmoid(x.take(out).dot(w) + before[out] @ v + b)
+        for inside, rows, rest in folds:
+            w, v, b = linear.fit(rows, before[inside], target[inside])
+            oof[~inside, c] = linear.sigmoid(rest.dot(w) + before[~inside] @ v + b)
         weights.append(linear.fit(x, before, target))
     return Chain(u[best], weights, _threshold(oof[:, -1], y))
 
