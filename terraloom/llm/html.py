@@ -7,12 +7,11 @@ that occur on distinct pages of the host are neighbours; longer ones are runs of
 them. Every word that such a substring covers, on whichever page, is boilerplate
 and goes; the runs between are kept.
 
-The array is sharded by content. Pass one ships, per suffix, a number of
-log2(shards) + 32 bits, sorted and gap-coded at about two bytes; neighbours that
-are equal give candidates. Pass two ships whole 64-bit fingerprints of the
-candidates alone and settles which are on two pages or more. Pass three cuts.
-The settled set is broadcast while it fits ``BROADCAST_BYTES``; beyond that the
-same sets are built and applied with shuffled joins.
+Pages are parsed once, into a table in parts by hash. The array is sharded by
+content: each part ships its distinct suffixes, sorted and packed, with the page
+of each, or a mark for those on several pages. A shard merges these lists and
+answers each part with those of its suffixes that two pages or more hold; the
+part cuts its pages by them. Nothing is broadcast, whatever the size.
 
 Edge cases: null or empty html has empty text and 0 words; a page without a host
 in its url (null, relative) is compared with no other page; rows with equal
@@ -33,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import common
 from terraloom.llm.common import read, shards, table
+from terraloom.llm.packed import pack, unpack
 from terraloom.llm.tokens import chunks, row_of, window_hashes, word_bounds, word_hashes
 
 MIN_WORDS = 6
-#: Suffixes of a task that are held before they are shipped.
-HELD = 1 << 21
+#: Parts per shuffle partition; suffixes of a task that are held before they are shipped; the mark for several pages.
+FINE, HELD, MANY = 4, 1 << 20, 0xFFFFFFFF
 _U = np.uint64
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)|<[!/?a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!/?a-z][^>]*>", re.S | re.I)
 _OUT = "page_id long, host string, text string, n_words int, n_removed int"
@@ -60,9 +59,15 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), known.alias("d"), F.when(host.isNull(), F.xxhash64(F.lit(1), known)).otherwise(F.xxhash64(host)).alias("salt"), "html")
 
 
-def _prints(texts: list[str], salt: np.ndarray, n: int) -> Iterator[tuple]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = pa.array([visible_text(x) for x in batch["html"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch[c] for c in ("page_id", "host", "d", "salt", "part")] + [text], names=["page_id", "host", "d", "salt", "part", "text"])
+
+
+def _prints(text: pa.Array, salt: np.ndarray, n: int) -> Iterator[tuple]:
     """(first row, raw, offsets, starts, ends, first word of rows, window starts, their rows, salted fingerprints)."""
-    for a, b, raw, off in chunks(pa.array(texts, pa.large_string())):
+    for a, b, raw, off in chunks(text):
         starts, ends, first = word_bounds(raw, off)
         row = row_of(first)
         h = window_hashes(word_hashes(raw, starts, ends), n)
@@ -70,79 +75,66 @@ def _prints(texts: list[str], salt: np.ndarray, n: int) -> Iterator[tuple]:
         yield a, raw, off, starts, ends, first, at, row[at], h[at] ^ salt[a:b][row[at]].view(_U)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    return [visible_text(x) for x in batch["html"].to_pylist()], batch["salt"].to_numpy().astype(np.int64), batch["d"].to_numpy().astype(np.int64)
-
-
-def _code(values: np.ndarray) -> bytes:
-    """Sorted distinct 32-bit numbers as gaps, one byte plane after the other, so that the upper ones compress."""
-    gap = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return gap.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _decode(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
-
-
-def _short(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, number within it) of fingerprints."""
-    return ((h >> _U(32)) % _U(parts)).astype(np.int64), (h & _U(0xFFFFFFFF)).astype(np.uint32)
+def _shard(h: np.ndarray, parts: int) -> np.ndarray:
+    """Shards are ranges of fingerprints."""
+    return (((h >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
 
 
 def _ship(n: int, parts: int):
-    """Pass one: per shard the numbers of a task's suffixes; once: those on one page so far, more: those on several."""
+    """Per part and shard: sorted distinct suffixes, the page of each as a place in a list of pages, or MANY."""
 
-    def flush(h: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(part: int, h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         last = np.append(first[1:], len(h)) - 1
-        many = d[first] != d[last]
-        shard, low = _short(h[first], parts)
-        order = np.lexsort((low, shard))
-        shard, low, many = shard[order], low[order], many[order]
-        edge = np.searchsorted(shard, np.arange(parts + 1))
-        once, more, out = [], [], []
-        for s in np.flatnonzero(np.diff(edge)):
-            v, m = low[edge[s] : edge[s + 1]], many[edge[s] : edge[s + 1]]
-            v, inv, k = np.unique(v, return_inverse=True, return_counts=True)
-            m = (np.bincount(inv, m, len(v)) > 0) | (k > 1)
-            out.append(int(s))
-            once.append(_code(v[~m]))
-            more.append(_code(v[m]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["shard", "once", "more"])
+        many, d, h = d[first] != d[last], d[first], h[first]
+        edge = np.searchsorted(_shard(h, parts), np.arange(parts + 1))
+        out = []
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            own = slice(edge[s], edge[s + 1])
+            pages, place = np.unique(d[own], return_inverse=True)
+            out.append((s, part, pack(np.diff(h[own], prepend=_U(0)), np.where(many[own], MANY, place).astype(np.uint32), pages)))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "part", "blob"])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pages, size = [], [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
-            texts, salt, d = _read(batch)
-            for a, *_, at, row, h in _prints(texts, salt, n):
-                held.append(h)
-                pages.append(d[a:][row])
+            part, d = batch["part"].to_numpy(), batch["d"].to_numpy()
+            for a, *_, row, h in _prints(batch["text"], batch["salt"].to_numpy(), n):
+                for p in np.unique(part[a:][row]).tolist():
+                    own = part[a:][row] == p
+                    held.setdefault(p, []).append((h[own], d[a:][row[own]]))
                 size += len(h)
-                if size >= HELD:
-                    yield from flush(np.concatenate(held), np.concatenate(pages))
-                    held, pages, size = [], [], 0
-        if size:
-            yield from flush(np.concatenate(held), np.concatenate(pages))
+            # Rows come part by part, so only the last one may go on.
+            for p in list(held)[:-1] if size < HELD else list(held):
+                yield flush(p, *(np.concatenate(x) for x in zip(*held.pop(p), strict=True)))
+            size = sum(len(h) for own in held.values() for h, _ in own)
+        for p, own in held.items():
+            yield flush(p, *(np.concatenate(x) for x in zip(*own, strict=True)))
 
     return ship
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of a shard that come twice, from two tasks or on two pages of one."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for shard, once, more in zip(batch["shard"].to_pylist(), batch["once"], batch["more"], strict=True):
-            more = _decode(more.as_buffer())
-            held.setdefault(shard, []).extend([_decode(once.as_buffer()), more, more])
-    for shard, lists in held.items():
-        v = np.sort(np.concatenate(lists))
-        twice = np.unique(v[1:][v[1:] == v[:-1]])
-        if len(twice):
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(shard) << np.int64(32)) | twice.astype(np.int64))], names=["x"])
+def _settle(rows: pa.Table) -> pa.Table:
+    """One shard: for each part the suffixes that two pages or more hold."""
+    hs, ds, marks, owners = [], [], [], []
+    for k, blob in enumerate(rows["blob"]):
+        gap, place, pages = unpack(blob.as_py(), "<u8", "<u4", "<i8")
+        many = place == MANY
+        hs.append(np.cumsum(gap, dtype=_U))
+        ds.append(pages[np.where(many, 0, place)])
+        marks.append(many)
+        owners.append(np.full(len(gap), k))
+    h, d, many, owner = (np.concatenate(x) for x in (hs, ds, marks, owners))
+    _, inv = np.unique(h, return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(inv[order]) > 0]))
+    repeated = (np.minimum.reduceat(d[order], first) != np.maximum.reduceat(d[order], first)) | np.logical_or.reduceat(many[order], first)
+    hit = repeated[inv]
+    out = [(p, pack(h[hit & (owner == k)])) for k, p in enumerate(rows["part"].to_pylist())]
+    return pa.table([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "blob"])
 
 
 def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -151,20 +143,6 @@ def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def _candidates(n: int, parts: int, wanted):
-    """Pass two: fingerprints and pages of the candidates."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, salt, d = _read(batch)
-            for a, *_, at, row, h in _prints(texts, salt, n):
-                shard, low = _short(h, parts)
-                hit = _has(wanted.value, (shard << np.int64(32)) | low.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(d[a:][row[hit]])], names=["h", "d"])
-
-    return find
-
-
 def _keep(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int, gone: np.ndarray) -> tuple[str, int]:
     """The words lo..hi that aren't gone, with single spaces between."""
     left = np.flatnonzero(~gone[lo:hi]) + lo
@@ -183,83 +161,33 @@ def _cover(at: np.ndarray, total: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _rows(batch: pa.RecordBatch, marked) -> pa.RecordBatch:
-    texts, salt, _ = _read(batch)
-    text, left, size = [], [], []
-    n = marked.n
-    for a, raw, off, starts, ends, first, at, row, h in _prints(texts, salt, n):
-        gone = _cover(at[marked(h, a, at - first[row], row)], len(starts), n)
-        for i in range(len(off) - 1):
-            t, k = _keep(raw, starts, ends, first[i], first[i + 1], gone)
-            text.append(t)
-            left.append(k)
-            size.append(first[i + 1] - first[i] - k)
-    return pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], pa.array(text, pa.string()), pa.array(left, pa.int32()), pa.array(size, pa.int32())], names=["page_id", "host", "text", "n_words", "n_removed"])
-
-
-class _ByPrint:
-    """Windows whose fingerprint is in a broadcast set."""
-
-    def __init__(self, n: int, known):
-        self.n, self.known = n, known
-
-    def __call__(self, h, a, place, row):
-        return _has(self.known.value, h.view(np.int64))
+def _cut(n: int):
+    """One part: its pages without the words that repeated suffixes cover."""
 
+    def cut(pages: pa.Table, answers: pa.Table) -> pa.Table:
+        known = np.unique(np.concatenate([np.zeros(0, _U), *(unpack(b.as_py(), "<u8")[0] for b in answers["blob"])]))
+        text, left, size = [], [], []
+        for a, raw, off, starts, ends, first, at, row, h in _prints(pages["text"], pages["salt"].to_numpy(), n):
+            gone = _cover(at[_has(known, h)], len(starts), n)
+            for i in range(len(off) - 1):
+                t, k = _keep(raw, starts, ends, first[i], first[i + 1], gone)
+                text.append(t)
+                left.append(k)
+                size.append(first[i + 1] - first[i] - k)
+        return pa.table([pages["page_id"], pages["host"], pa.array(text, pa.string()), pa.array(left, pa.int32()), pa.array(size, pa.int32())], names=["page_id", "host", "text", "n_words", "n_removed"])
 
-class _ByPlace:
-    """Windows whose place is listed with their page."""
-
-    def __init__(self, n: int, places: list):
-        self.n, self.places = n, places
-
-    def __call__(self, h, a, place, row):
-        out = np.zeros(len(h), bool)
-        for r in np.unique(row):
-            own = self.places[a + r]
-            if own:
-                out |= (row == r) & np.isin(place, own)
-        return out
-
-
-def _places(n: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, salt, d = _read(batch)
-            for a, *_, first, at, row, h in _prints(texts, salt, n):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d[a:][row]), pa.array((at - first[row]).astype(np.int32))], names=["h", "d", "at"])
-
-    return find
+    return cut
 
 
 def extract(pages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """page_id, host, text, n_words kept and n_removed, for every page."""
-    spark = pages.sparkSession
-    own = _pages(pages)
-    parts = shards(spark)
-    shipped = own.select("d", "salt", "html").mapInArrow(_ship(min_words, parts), "shard int, once binary, more binary")
-    twice = table(shipped.repartition(parts, "shard").mapInArrow(_neighbours, "x long"), "host-candidates")
-    if twice.count() * 8 > common.BROADCAST_BYTES:
-        return _by_joins(own, min_words)
-    wanted = spark.sparkContext.broadcast(_sorted(twice, "x"))
-    found = own.select("d", "salt", "html").mapInArrow(_candidates(min_words, parts, wanted), "h long, d long")
-    known = table(found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h"), "host-repeats")
-    marked = _ByPrint(min_words, spark.sparkContext.broadcast(_sorted(known, "h")))
-    return own.select("page_id", "host", "d", "salt", "html").mapInArrow(lambda it: (_rows(b, marked) for b in it), _OUT)
-
-
-def _sorted(df: DataFrame, name: str) -> np.ndarray:
-    """A column of checked size, sorted, on the driver."""
-    return np.sort(df.select(name).toArrow()[name].to_numpy())
-
-
-def _by_joins(own: DataFrame, n: int) -> DataFrame:
-    """The same with shuffled joins only."""
-    found = table(own.select("d", "salt", "html").mapInArrow(_places(n), "h long, d long, at int"), "host-suffixes")
-    known = found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("h")
-    places = found.join(known, "h").groupBy("d").agg(F.collect_set("at").alias("places"))
-    both = own.join(places, "d", "left").select("page_id", "host", "d", "salt", "html", "places")
-    return both.mapInArrow(lambda it: (_rows(b, _ByPlace(n, b["places"].to_pylist())) for b in it), _OUT)
+    parts = shards(pages.sparkSession)
+    own = _pages(pages).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "d", "html"), F.lit(parts * FINE)).cast("int"))
+    parsed = own.mapInArrow(_parse, "page_id long, host string, d long, salt long, part int, text string")
+    texts = table(parsed.repartition(parts, "part").sortWithinPartitions("part"), "host-texts")
+    shipped = texts.select("d", "salt", "part", "text").mapInArrow(_ship(min_words, parts), "shard int, part int, blob binary")
+    answers = table(shipped.groupBy("shard").applyInArrow(_settle, "part int, blob binary"), "host-repeats")
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(min_words), _OUT)
 
 
 def op6_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import drop, read, shards, table
+from terraloom.llm.packed import pack, unpack
 from terraloom.llm.tokens import chunks, mix, word_bounds, word_hashes
 
 LEAST, LARGE, HOT, SPREAD = 2, 5, (1 << 20) - 1, 1 << 20
@@ -61,32 +62,11 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 #: The fingerprint that stands for the boundary.
 BOUNDARY = _U(0x5BF03635A9D1E1C7) | _RARE
 _TINY = 1e-300
-_CODEC = pa.Codec("zstd", 1)
 
 
 # --- Packing ----------------------------------------------------------------------------------------------
 
 
-def pack(*pieces: np.ndarray) -> bytes:
-    """Arrays of 16-, 32- or 64-bit numbers, byte plane by byte plane, compressed."""
-    head, body = [len(pieces)], []
-    for p in pieces:
-        head += [p.dtype.itemsize, len(p)]
-        body.append(p.view(np.uint8).reshape(-1, p.dtype.itemsize).T.tobytes())
-    raw = np.array(head, "<u4").tobytes() + b"".join(body)
-    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
-
-
-def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = np.frombuffer(_CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
-    head, out = raw[: 4 * (1 + 2 * len(kinds))].view("<u4")[1:].tolist(), []
-    at = 4 * (1 + 2 * len(kinds))
-    for kind, width, n in zip(kinds, head[::2], head[1::2], strict=True):
-        out.append(raw[at : at + width * n].reshape(width, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind))
-        at += width * n
-    return out
-
-
 def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes as numbers of up to 20 bits, HOT for an escape, and the escaped fingerprints."""
     rare = codes >= _RARE

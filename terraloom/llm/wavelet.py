@@ -5,14 +5,15 @@ never joins a letter to white space after it, so a text is cut into units of
 white space and the word that follows, each distinct unit is encoded once, and
 the ids are put together again; texts with white space beyond ASCII, where that
 doesn't hold, are encoded whole. The ids of SHARD_TOKENS tokens or a little more
-form a shard: 16 bit-planes, each stably partitioned by the bits before it, with
+form a shard: as many bit-planes as the ids of the vocabulary take, 16 at least, each stably partitioned by the bits before it, with
 counts of ones per 512 bits, compressed plane by plane into one file together
 with the documents' ids and ends. The file answers access, rank, count, select
 and the places of a token without the text.
 
 Edge cases: null and empty texts are documents of no tokens; null ids are kept;
 repeated rows are stored each; a document is never split, so a very long one
-makes a larger shard; an empty table gives no shard; other columns are ignored.
+makes a larger shard; an empty table gives no shard; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ class Tokenizer:
 
     def __init__(self, ranks: str = RANKS):
         self.encode, self.known = encoding(ranks).encode_ordinary, {}
+        self.kind = np.uint16 if encoding(ranks).max_token_value < 1 << BITS else np.uint32
 
     def __call__(self, text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, end of each row in ids) by chunk of rows."""
@@ -84,27 +86,30 @@ class Tokenizer:
             for key, i, j in zip(h.tolist(), u0[at].tolist(), u1[at].tolist(), strict=True):
                 ids = known.get(key)
                 if ids is None:
-                    ids = known[key] = np.array(encode(blob[i:j].decode()), np.uint16)
+                    ids = known[key] = np.array(encode(blob[i:j].decode()), self.kind)
                 parts.append(ids)
             size = np.array([len(p) for p in parts], np.int64)
-            flat, from_ = np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.cumsum(size) - size
+            flat, from_ = np.concatenate(parts) if parts else np.zeros(0, self.kind), np.cumsum(size) - size
             k = size[inv]
             place = np.repeat(from_[inv] - (np.cumsum(k) - k), k) + np.arange(k.sum())
             yield a, flat[place], np.cumsum(np.bincount(ur, k, n)).astype(np.int64)
 
 
 class WaveletMatrix:
-    """A sequence of 16-bit numbers as bit-planes with ranks."""
+    """A sequence of numbers of 16 bits, or as many more as the largest takes, as bit-planes with ranks."""
 
     def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray], ids: list, ends: np.ndarray):
         self.n, self.zeros, self.planes, self.ranks, self.ids, self.ends = n, zeros, planes, ranks, ids, ends
+        self.bits = len(zeros)
 
     @classmethod
     def build(cls, tokens: np.ndarray, ids: list | None = None, ends: np.ndarray | None = None) -> WaveletMatrix:
-        seq, zeros, planes, ranks = tokens.astype(np.uint16), [], [], []
+        bits = max(BITS, int(tokens.max()).bit_length() if len(tokens) else 0)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        seq, zeros, planes, ranks = tokens.astype(kind), [], [], []
         blocks = len(seq) // BLOCK + 1
-        for level in range(BITS - 1, -1, -1):
-            bit = (seq >> np.uint16(level)) & np.uint16(1) == 1
+        for level in range(bits - 1, -1, -1):
+            bit = (seq >> kind(level)) & kind(1) == 1
             packed = np.zeros(blocks * BLOCK // 8, np.uint8)
             own = np.packbits(bit, bitorder="little")
             packed[: len(own)] = own
@@ -122,15 +127,15 @@ class WaveletMatrix:
         plain = np.array([i or 0 for i in self.ids], "<i8")
         parts = [p.tobytes() for pair in zip(self.planes, self.ranks, strict=True) for p in pair] + [known.tobytes(), plain.tobytes(), self.ends.astype("<i8").tobytes()]
         packed = [codec.compress(p, asbytes=True) if p else b"" for p in parts]
-        head = struct.pack("<4sQ", b"WVM1", self.n) + struct.pack(f"<{BITS}Q", *self.zeros) + struct.pack("<I", len(parts))
+        head = struct.pack("<4sQI", b"WVM2", self.n, self.bits) + struct.pack(f"<{self.bits}Q", *self.zeros) + struct.pack("<I", len(parts))
         return head + b"".join(struct.pack("<QQ", len(p), len(z)) for p, z in zip(parts, packed, strict=True)) + b"".join(packed)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n = struct.unpack_from("<4sQ", data)
-        assert magic == b"WVM1", "not a wavelet matrix"
-        zeros = list(struct.unpack_from(f"<{BITS}Q", data, 12))
-        at = 12 + 8 * BITS
+        magic, n, bits = struct.unpack_from("<4sQI", data)
+        assert magic == b"WVM2", "not a wavelet matrix"
+        zeros = list(struct.unpack_from(f"<{bits}Q", data, 16))
+        at = 16 + 8 * bits
         (k,) = struct.unpack_from("<I", data, at)
         sizes = [struct.unpack_from("<QQ", data, at + 4 + 16 * i) for i in range(k)]
         at, codec, parts = at + 4 + 16 * k, pa.Codec("zstd"), []
@@ -139,7 +144,7 @@ class WaveletMatrix:
             at += small
         known, plain = np.frombuffer(parts[-3], np.uint8), np.frombuffer(parts[-2], "<i8")
         ids = [int(i) if ok else None for ok, i in zip(known, plain, strict=True)]
-        return cls(n, zeros, [np.frombuffer(p, np.uint8) for p in parts[: 2 * BITS : 2]], [np.frombuffer(p, np.uint32) for p in parts[1 : 2 * BITS : 2]], ids, np.frombuffer(parts[-1], "<i8"))
+        return cls(n, zeros, [np.frombuffer(p, np.uint8) for p in parts[: 2 * bits : 2]], [np.frombuffer(p, np.uint32) for p in parts[1 : 2 * bits : 2]], ids, np.frombuffer(parts[-1], "<i8"))
 
     def ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each position."""
@@ -154,7 +159,7 @@ class WaveletMatrix:
         """The tokens at positions."""
         at = np.atleast_1d(np.asarray(at, np.int64)).copy()
         out = np.zeros(len(at), np.int64)
-        for level in range(BITS):
+        for level in range(self.bits):
             bit = (self.planes[level][at >> 3] >> (at & 7)) & 1 == 1
             ones = self.ones(level, at)
             at = np.where(bit, self.zeros[level] + ones, at - ones)
@@ -164,9 +169,9 @@ class WaveletMatrix:
     def _span(self, token: int, end: int) -> tuple[int, int]:
         """Where the token's occurrences before end lie below the last plane."""
         span = np.array([0, end], np.int64)
-        for level in range(BITS):
+        for level in range(self.bits):
             ones = self.ones(level, span)
-            span = self.zeros[level] + ones if token >> (BITS - 1 - level) & 1 else span - ones
+            span = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else span - ones
         return int(span[0]), int(span[1])
 
     def rank(self, token: int, end: int) -> int:
@@ -192,8 +197,8 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             return -1
         at = lo + k
-        for level in range(BITS - 1, -1, -1):
-            one = bool(token >> (BITS - 1 - level) & 1)
+        for level in range(self.bits - 1, -1, -1):
+            one = bool(token >> (self.bits - 1 - level) & 1)
             at = self._find(level, one, at - self.zeros[level] if one else at)
         return at
 

@@ -246,13 +246,14 @@ def page_rows():
     return rows + [(70, None, "<p>home about contact us now please</p>"), (71, "x", ""), (72, "https://h0.example.org", None), (None, "https://h0.example.org/z", "<p>home about contact us now please"), (3, rows[3][1], rows[3][2])]
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 0])
-def test_html_matches_brute_force(spark, monkeypatch, limit):
-    from terraloom.llm import common
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_html_matches_brute_force(spark, monkeypatch, held):
+    from terraloom.llm import html
     from terraloom.llm.html import extract, visible_text
 
-    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(html, "HELD", held)
     rows = page_rows()
+    rows.append((5, rows[5][1], "<p>quite another page of the same number home about contact us now please x</p>"))
     seen = defaultdict(set)
     split = [(i, u.split("/")[2] if u and "//" in u else f"none{k}", visible_text(h).split()) for k, (i, u, h) in enumerate(rows)]
     for k, (i, host, w) in enumerate(split):

@@ -32,6 +32,16 @@ def test_matrix_answers(n):
         assert w.locate(c) == [(7, p) if p < n // 2 else (None, p - n // 2) for p in at]
 
 
+def test_matrix_of_large_numbers():
+    from terraloom.llm.wavelet import WaveletMatrix
+
+    x = np.random.default_rng(1).integers(0, 200_000, 3000)
+    w = WaveletMatrix.from_bytes(WaveletMatrix.build(x, [1], [3000]).to_bytes())
+    assert w.bits == 18 and (w.access(np.arange(3000)) == x).all()
+    c = int(x[77])
+    assert w.count(c) == (x == c).sum() and w.select(c, 0) == int(np.flatnonzero(x == c)[0])
+
+
 def test_shards_round_trip(spark, tmp_path):
     from terraloom.llm.wavelet import RANKS, WaveletMatrix, encoding, shards, write_files
 
