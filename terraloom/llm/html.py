@@ -7,11 +7,12 @@ that occur on distinct pages of the host are neighbours; longer ones are runs of
 them. Every word that such a substring covers, on whichever page, is boilerplate
 and goes; the runs between are kept.
 
-Pages are parsed once, into a table in parts by hash. The array is sharded by
-content: each part ships its distinct suffixes, sorted and packed, with the page
-of each, or a mark for those on several pages. A shard merges these lists and
-answers each part with those of its suffixes that two pages or more hold; the
-part cuts its pages by them. Nothing is broadcast, whatever the size.
+Pages are parsed once and go, compressed, to parts by host; the suffixes of a
+host in one part are settled there. A host of more than ``SPLIT`` bytes has
+several parts, and its array is sharded by content: each part ships its distinct
+suffixes, sorted and packed, with the page of each, or a mark for those on
+several pages; a shard merges these lists and answers each part with those of
+its suffixes that two pages or more hold. Then the part cuts its pages.
 
 Edge cases: null or empty html has empty text and 0 words; a page without a host
 in its url (null, relative) is compared with no other page; rows with equal
@@ -32,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import read, shards, table
+from terraloom.llm.common import read, shards, small, table
 from terraloom.llm.packed import pack, unpack
 from terraloom.llm.tokens import chunks, row_of, window_hashes, word_bounds, word_hashes
 
 MIN_WORDS = 6
-#: Parts per shuffle partition; suffixes of a task that are held before they are shipped; the mark for several pages.
-FINE, HELD, MANY = 4, 1 << 20, 0xFFFFFFFF
+#: Parts per shuffle partition; bytes of a host's html in one part; suffixes of a task that are held before they are shipped; the mark for several pages.
+FINE, SPLIT, HELD, MANY = 4, 16 << 20, 1 << 20, 0xFFFFFFFF
 _U = np.uint64
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)|<[!/?a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!/?a-z][^>]*>", re.S | re.I)
+_CODEC = pa.Codec("zstd", 3)
+_KEYS = ("page_id", "host", "d", "salt", "split", "part")
 _OUT = "page_id long, host string, text string, n_words int, n_removed int"
 
 
@@ -61,8 +64,13 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = pa.array([visible_text(x) for x in batch["html"].to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch[c] for c in ("page_id", "host", "d", "salt", "part")] + [text], names=["page_id", "host", "d", "salt", "part", "text"])
+        raw = [visible_text(x).encode() for x in batch["html"].to_pylist()]
+        text = pa.array([len(r).to_bytes(4, "little") + _CODEC.compress(r, asbytes=True) for r in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch[c] for c in _KEYS] + [text], names=[*_KEYS, "text"])
+
+
+def _texts(column) -> pa.Array:
+    return pa.array([_CODEC.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True).decode() for x in column.to_pylist()], pa.large_string())
 
 
 def _prints(text: pa.Array, salt: np.ndarray, n: int) -> Iterator[tuple]:
@@ -80,15 +88,20 @@ def _shard(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
 
 
+def _pages_of(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct fingerprints in order, a page of each, whether there are several pages)."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(h)) - 1 if len(h) else first
+    return h[first], d[first], d[first] != d[last]
+
+
 def _ship(n: int, parts: int):
-    """Per part and shard: sorted distinct suffixes, the page of each as a place in a list of pages, or MANY."""
-
-    def flush(part: int, h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        last = np.append(first[1:], len(h)) - 1
-        many, d, h = d[first] != d[last], d[first], h[first]
+    """Per part and shard: the distinct suffixes of split hosts, the page of each as a place in a list of pages, or MANY."""
+
+    def flush(part: int, held: list) -> pa.RecordBatch:
+        h, d, many = _pages_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
         edge = np.searchsorted(_shard(h, parts), np.arange(parts + 1))
         out = []
         for s in np.flatnonzero(np.diff(edge)).tolist():
@@ -101,18 +114,19 @@ def _ship(n: int, parts: int):
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
         for batch in batches:
+            batch = batch.filter(batch["split"])
             part, d = batch["part"].to_numpy(), batch["d"].to_numpy()
-            for a, *_, row, h in _prints(batch["text"], batch["salt"].to_numpy(), n):
+            for a, *_, row, h in _prints(_texts(batch["text"]), batch["salt"].to_numpy(), n):
                 for p in np.unique(part[a:][row]).tolist():
                     own = part[a:][row] == p
                     held.setdefault(p, []).append((h[own], d[a:][row[own]]))
                 size += len(h)
-            # Rows come part by part, so only the last one may go on.
-            for p in list(held)[:-1] if size < HELD else list(held):
-                yield flush(p, *(np.concatenate(x) for x in zip(*held.pop(p), strict=True)))
-            size = sum(len(h) for own in held.values() for h, _ in own)
+            if size >= HELD:
+                for p in list(held):
+                    yield flush(p, held.pop(p))
+                size = 0
         for p, own in held.items():
-            yield flush(p, *(np.concatenate(x) for x in zip(*own, strict=True)))
+            yield flush(p, own)
 
     return ship
 
@@ -165,9 +179,12 @@ def _cut(n: int):
     """One part: its pages without the words that repeated suffixes cover."""
 
     def cut(pages: pa.Table, answers: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.zeros(0, _U), *(unpack(b.as_py(), "<u8")[0] for b in answers["blob"])]))
+        texts, salt, d, split = _texts(pages["text"]), pages["salt"].to_numpy(), pages["d"].to_numpy(), pages["split"].to_numpy()
+        own = [(h[~split[a:][row]], d[a:][row[~split[a:][row]]]) for a, *_, row, h in _prints(texts, salt, n)]
+        h, _, many = _pages_of(*(np.concatenate(x) for x in zip(*own, strict=True))) if own else (np.zeros(0, _U), None, np.zeros(0, bool))
+        known = np.unique(np.concatenate([h[many], *(unpack(b.as_py(), "<u8")[0] for b in answers["blob"])]))
         text, left, size = [], [], []
-        for a, raw, off, starts, ends, first, at, row, h in _prints(pages["text"], pages["salt"].to_numpy(), n):
+        for _, raw, off, starts, ends, first, at, _, h in _prints(texts, salt, n):
             gone = _cover(at[_has(known, h)], len(starts), n)
             for i in range(len(off) - 1):
                 t, k = _keep(raw, starts, ends, first[i], first[i + 1], gone)
@@ -179,14 +196,19 @@ def _cut(n: int):
     return cut
 
 
-def extract(pages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def extract(pages: DataFrame, min_words: int = MIN_WORDS, split: int = SPLIT) -> DataFrame:
     """page_id, host, text, n_words kept and n_removed, for every page."""
     parts = shards(pages.sparkSession)
-    own = _pages(pages).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "d", "html"), F.lit(parts * FINE)).cast("int"))
-    parsed = own.mapInArrow(_parse, "page_id long, host string, d long, salt long, part int, text string")
-    texts = table(parsed.repartition(parts, "part").sortWithinPartitions("part"), "host-texts")
-    shipped = texts.select("d", "salt", "part", "text").mapInArrow(_ship(min_words, parts), "shard int, part int, blob binary")
-    answers = table(shipped.groupBy("shard").applyInArrow(_settle, "part int, blob binary"), "host-repeats")
+    own = _pages(pages)
+    large = table(own.groupBy(F.col("salt").alias("__salt")).agg(F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("bytes") > split).select("__salt", F.ceil(F.col("bytes") / split).alias("m")), "host-large")
+    own = own.join(small(large, large.count(), 24), F.col("salt") == F.col("__salt"), "left")
+    piece = F.coalesce(F.pmod(F.xxhash64(F.lit(3), "d", "html"), "m"), F.lit(0))
+    own = own.select("page_id", "host", "d", "salt", F.col("m").isNotNull().alias("split"), F.pmod(F.xxhash64("salt", piece), F.lit(parts * FINE)).cast("int").alias("part"), "html")
+    parsed = own.mapInArrow(_parse, "page_id long, host string, d long, salt long, split boolean, part int, text binary")
+    # One exchange serves both the lists and the cut: the plan reuses it.
+    texts = parsed.repartition(parts, "part")
+    shipped = texts.mapInArrow(_ship(min_words, parts), "shard int, part int, blob binary")
+    answers = shipped.groupBy("shard").applyInArrow(_settle, "part int, blob binary")
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(min_words), _OUT)
 
 

@@ -246,8 +246,8 @@ def page_rows():
     return rows + [(70, None, "<p>home about contact us now please</p>"), (71, "x", ""), (72, "https://h0.example.org", None), (None, "https://h0.example.org/z", "<p>home about contact us now please"), (3, rows[3][1], rows[3][2])]
 
 
-@pytest.mark.parametrize("held", [1 << 20, 50])
-def test_html_matches_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "most"), [(1 << 20, 1 << 24), (50, 1 << 24), (50, 4000), (1 << 20, 1)])
+def test_html_matches_brute_force(spark, monkeypatch, held, most):
     from terraloom.llm import html
     from terraloom.llm.html import extract, visible_text
 
@@ -267,7 +267,7 @@ def test_html_matches_brute_force(spark, monkeypatch, held):
                 gone[a : a + 6] = [True] * 6
         want[i, " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS d", "'y' AS salt")
-    assert Counter((r.page_id, r.text) for r in extract(df).collect()) == want
+    assert Counter((r.page_id, r.text) for r in extract(df, split=most).collect()) == want
     assert extract(df.limit(0)).count() == 0
 
 
