@@ -31,6 +31,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
 drop = storage.drop
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as no column of df has, however its columns are called."""
+    taken = [c.lower() for c in df.columns]
+    pre = "__"
+    while any((pre + n).lower() in taken for n in names):
+        pre += "_"
+    return [pre + n for n in names]
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its rows, at row_bytes each, fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

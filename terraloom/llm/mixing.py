@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import read, small, table
+from terraloom.llm.common import free, read, small, table
 from terraloom.llm.packing import tokens
 
 ALPHA, KEEP, BLOCK, SEED = 0.5, 0.75, 4096, 11
@@ -168,16 +168,16 @@ def mix(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA,
 
 def select_rows(documents: DataFrame, weights: dict | None = None, alpha: float = ALPHA, keep: float | None = None) -> DataFrame:
     """The rows drawn, with all their columns."""
-    drawn = draw(documents, weights, alpha, keep=keep).groupBy(F.col("u").alias("__mix_u"), F.col("d").alias("__mix_d")).agg(F.count("*").alias("__mix_k"), F.max("c").alias("__mix_c"))
+    u, d, k, c, v, r = free(documents, "u", "d", "k", "c", "v", "r")
+    drawn = draw(documents, weights, alpha, keep=keep).groupBy(F.col("u").alias(u), F.col("d").alias(d)).agg(F.count("*").alias(k), F.max("c").alias(c))
     drawn = table(drawn, "mixing-drawn")
     # Of equal rows only as many stay as were drawn; that takes a count within equal rows, where there are any at all.
-    repeated = bool(drawn.filter("__mix_k > 1 OR __mix_c > 0").limit(1).count())
-    names = documents.columns
-    own = documents.withColumn("__mix_v", F.xxhash64(F.lit(SEED), "doc_id", "text", "source"))
-    joined = own.join(small(drawn, drawn.count(), 40), F.expr("__mix_v = __mix_u AND doc_id <=> __mix_d"))
+    repeated = bool(drawn.filter((F.col(k) > 1) | (F.col(c) > 0)).limit(1).count())
+    own = documents.withColumn(v, F.xxhash64(F.lit(SEED), "doc_id", "text", "source"))
+    joined = own.join(small(drawn, drawn.count(), 40), (F.col(v) == F.col(u)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d)))
     if repeated:
-        joined = joined.withColumn("__mix_r", F.row_number().over(W.partitionBy("__mix_v", "doc_id").orderBy("__mix_v"))).filter("__mix_r <= __mix_k")
-    return joined.select(*[F.col(f"`{c}`") for c in names])
+        joined = joined.withColumn(r, F.row_number().over(W.partitionBy(v, "doc_id").orderBy(v))).filter(F.col(r) <= F.col(k))
+    return joined.select(*[F.col(f"`{name}`") for name in documents.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

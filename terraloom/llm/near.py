@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraloom.llm.align import similar
-from terraloom.llm.common import drop, read, shards, small, table
+from terraloom.llm.common import drop, free, read, shards, small, table
 from terraloom.operators.graph import components
 from terraloom.llm.tokens import chunks, mix, row_of, window_hashes, word_bounds, word_hashes
 
@@ -275,23 +275,24 @@ def sketch_id(text: pa.Array) -> pa.Array:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of documents without all but one of each group: the row with the least (doc_id, fingerprints of its words, hash of its text)."""
     docs, labels = labelled_rows(documents)
+    d, v, o, r = free(documents, "d", "v", "o", "r")
     best = F.min(F.struct("d", "v", "w", "n"))
     whole = docs.join(labels, ["v", "w", "n"])
     kept = whole.groupBy("c").agg(best.alias("k"), F.count("*").alias("m")).filter("m > 1")
-    gone = table(whole.join(kept, "c").filter("d <> k.d OR v <> k.v OR w <> k.w OR n <> k.n").select(F.col("d").alias("__near_d"), F.col("v").alias("__near_v")), "near-gone")
+    gone = table(whole.join(kept, "c").filter("d <> k.d OR v <> k.v OR w <> k.w OR n <> k.n").select(F.col("d").alias(d), F.col("v").alias(v)), "near-gone")
     # Rows of ids that come once need no look at their words.
-    often = table(documents.groupBy(F.col("doc_id").cast("long").alias("__near_d")).agg(F.count("*").alias("__near_n")).filter("__near_d IS NOT NULL AND __near_n > 1").select("__near_d"), "near-repeated")
+    often = table(documents.groupBy(F.col("doc_id").cast("long").alias(d)).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(d).isNotNull()).select(d), "near-repeated")
     n, repeated = gone.count(), often.count()
-    id_ = F.col("doc_id").cast("long") == F.col("__near_d")
+    id_ = F.col("doc_id").cast("long") == F.col(d)
     if not repeated:
-        return documents.join(small(gone.select("__near_d"), n, 16), id_, "left_anti")
+        return documents.join(small(gone.select(d), n, 16), id_, "left_anti")
     often = small(often, repeated, 16)
-    once = documents.join(often, id_, "left_anti").join(small(gone.select("__near_d").distinct(), n, 16), id_, "left_anti")
+    once = documents.join(often, id_, "left_anti").join(small(gone.select(d).distinct(), n, 16), id_, "left_anti")
     own = F.arrow_udf(sketch_id, "long").asNondeterministic()
-    twice = documents.join(often, id_, "left_semi").withColumn("__near_o", own("text"))
-    twice = twice.join(gone, id_ & (F.col("__near_o") == F.col("__near_v")), "left_anti")
+    twice = documents.join(often, id_, "left_semi").withColumn(o, own("text"))
+    twice = twice.join(gone, id_ & (F.col(o) == F.col(v)), "left_anti")
     # Of rows with one id and equal words, or without any, one stays.
-    twice = twice.withColumn("__near_r", F.row_number().over(W.partitionBy("doc_id", "__near_o").orderBy(F.xxhash64("text")))).filter("__near_r = 1").drop("__near_r", "__near_o")
+    twice = twice.withColumn(r, F.row_number().over(W.partitionBy("doc_id", o).orderBy(F.xxhash64("text")))).filter(F.col(r) == 1).drop(r, o)
     return once.unionByName(twice)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import drop, read, shards, table
+from terraloom.llm.common import drop, free, read, shards, table
 from terraloom.llm.tokens import chunks, row_of, window_hashes, word_bounds, word_hashes
 
 LENGTH, K = 50, 13
@@ -238,14 +238,15 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def cut_rows(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of documents with their repeated passages cut out."""
-    spans = repeats(documents, length).withColumnRenamed("d", "__suffix_d").withColumnRenamed("spans", "__suffix_s")
-    both = documents.join(spans, F.col("doc_id") == F.col("__suffix_d"), "left").drop("__suffix_d")
-    hit = F.col("__suffix_s").isNotNull()
-    cut = F.arrow_udf(_cut, "string").asNondeterministic()("text", "__suffix_s")
-    both = both.withColumn("__suffix_t", cut).filter(~hit | F.col("__suffix_t").isNotNull())
-    new = {"text": F.when(hit, F.col("__suffix_t")).otherwise(F.col("text"))}
+    d, s, t = free(documents, "d", "s", "t")
+    spans = repeats(documents, length).toDF(d, s)
+    both = documents.join(spans, F.col("doc_id").cast("long") == F.col(d), "left").drop(d)
+    hit = F.col(s).isNotNull()
+    cut = F.arrow_udf(_cut, "string").asNondeterministic()("text", s)
+    both = both.withColumn(t, cut).filter(~hit | F.col(t).isNotNull())
+    new = {"text": F.when(hit, F.col(t)).otherwise(F.col("text"))}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(hit, F.length("__suffix_t").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(hit, F.length(t).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return both.withColumns(new).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
