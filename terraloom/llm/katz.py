@@ -56,6 +56,8 @@ LEAST, LARGE, HOT, SPREAD = 2, 5, (1 << 20) - 1, 1 << 20
 FINE = 2
 #: Tokens of a task that are held before they are shipped, and the most in one list: word numbers within a list take 21 bits.
 HELD, LIST = 3 << 18, 1 << 21
+#: Tokens of a shard that are looked up at once, lists being short where shards are many.
+ASKED = 1 << 18
 _U = np.uint64
 _RARE = _U(1) << _U(63)
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -122,7 +124,7 @@ class Words:
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """Log P1 of frequent words, 0 for others."""
         hot = codes < _RARE
-        return np.where(hot, np.log(self.counts / self.every)[np.where(hot, codes, 0).astype(np.int64)], 0.0)
+        return np.where(hot, np.log(self.counts[np.where(hot, codes, 0).astype(np.int64)] / self.every), 0.0)
 
     def spread_of(self, codes: np.ndarray) -> np.ndarray:
         hot = codes < _RARE
@@ -178,12 +180,27 @@ def _by_shard(shard: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(int(s), int(edge[s]), int(edge[s + 1])) for s in np.flatnonzero(np.diff(edge))]
 
 
+def _escaped(codes: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """split() of the stretches of codes between cuts."""
+    small, rare = split(codes)
+    at = np.searchsorted(np.flatnonzero(small == HOT), cuts).tolist()
+    cuts = cuts.tolist()
+    return [(small[i:j], rare[k:m]) for i, j, k, m in zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True)]
+
+
 def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, doc: np.ndarray | None) -> list[tuple]:
-    """Rows of one list of tokens: (v, w, u) by shard, with documents if there are any; else also the bigrams of spread words."""
+    """Rows of one list of tokens: (v, w, u) by shard, with documents if there are any, then also the words that aren't frequent; else the bigrams of spread words."""
     lo = int(at[0]) - 2
     own, number = np.unique(seq[lo : int(at[-1]) + 1], return_inverse=True)
-    number = number.astype(np.int32)
-    code, at = words.codes(own), at - lo
+    number, code, at = number.astype(np.int32), words.codes(own), at - lo
+    rows = []
+    if doc is not None:
+        rare = np.flatnonzero((code >= _RARE)[number[at]])
+        rare = rare[np.argsort(number[at[rare]])]  # numbers follow fingerprints
+        w, owner = code[number[at[rare]]], doc[rare].astype(np.uint32)
+        order, cuts = _by_shard(shard_of(w, parts), parts)
+        w, owner = w[order], owner[order]
+        rows += [(s, RARE, t, None, pack(np.diff(w[i:j], prepend=_U(0)), owner[i:j]), None) for s, i, j in cuts]
     base, many = shard_of(code, parts), words.spread_of(code)
     v, u = number[at - 1], number[at - 2]
     key = v.astype(_U) << _U(42) | number[at].astype(_U) << _U(21) | u.astype(_U)
@@ -194,36 +211,47 @@ def _lists(words: Words, parts: int, t: int, seq: np.ndarray, at: np.ndarray, do
         key, doc = key[order], doc[order]
     mask = _U((1 << 21) - 1)
     v, w, u = ((key >> _U(s) & mask).astype(np.int32) for s in (42, 21, 0))
-    m = many[v]
-    shard = np.where(m > 0, (base[v] + (mix(code[u]) % np.maximum(m, 1).astype(_U)).astype(np.int64)) % parts, base[v])
-    rows = []
-    if doc is None and m.any():
-        pair = key[m > 0] >> _U(21)
-        first, n = _runs(np.diff(pair, prepend=~pair[:1]) != 0, len(pair))
-        pv, pw = code[(pair[first] >> _U(21)).astype(np.int64)], code[(pair[first] & mask).astype(np.int64)]
-        order, cuts = _by_shard(shard_of(key2(pv, pw), parts), parts)
-        pv, pw, n = pv[order], pw[order], n[order]
-        rows += [(s, PAIRS, t, None, pack(*split(pv[i:j]), *split(pw[i:j]), n[i:j]), None) for s, i, j in cuts]
+    shard = base[v]
+    if many.any():
+        m = many[v]
+        shard = np.where(m > 0, (shard + (mix(code[u]) % np.maximum(m, 1).astype(_U)).astype(np.int64)) % parts, shard)
+        if doc is None and m.any():
+            pair = key[m > 0] >> _U(21)
+            first, n = _runs(np.diff(pair, prepend=~pair[:1]) != 0, len(pair))
+            pv, pw = code[(pair[first] >> _U(21)).astype(np.int64)], code[(pair[first] & mask).astype(np.int64)]
+            order, cuts = _by_shard(shard_of(key2(pv, pw), parts), parts)
+            pv, pw, n = pv[order], pw[order], n[order]
+            rows += [(s, PAIRS, t, None, pack(*split(pv[i:j]), *split(pw[i:j]), n[i:j]), None) for s, i, j in cuts]
     order, cuts = _by_shard(shard, parts)
     key, v, w, u = key[order], v[order], w[order], u[order]
     doc = doc[order].astype(np.uint32) if doc is not None else np.zeros(0, np.uint32)
-    for s, i, j in cuts:
-        k = key[i:j]
-        change = np.append(~_U(0), k[1:] ^ k[:-1])  # bits in which neighbours differ
-        fu, nu = _runs(change != 0, j - i)
-        fw, _ = _runs(change >> _U(21) != 0, j - i)
-        fv, _ = _runs(change >> _U(42) != 0, j - i)
-        nw = np.diff(np.append(np.searchsorted(fu, fw), len(fu))).astype(np.uint32)
-        nv = np.diff(np.append(np.searchsorted(fw, fv), len(fw))).astype(np.uint32)
-        rows.append((s, TOKENS, t, None, pack(*split(code[v[i + fv]]), nv, *split(code[w[i + fw]]), nw, *split(code[u[i + fu]]), nu, doc[i:j]), None))
+    # Runs of equal (u, v, w), (v, w) and v over all shards at once; a shard begins runs of its own.
+    edge = np.array([i for _, i, _ in cuts] + [len(key)])
+    change = np.append(~_U(0), key[1:] ^ key[:-1])  # bits in which neighbours differ
+    change[edge[:-1]] = ~_U(0)
+    fu, nu = _runs(change != 0, len(key))
+    fw, _ = _runs(change >> _U(21) != 0, len(key))
+    fv, _ = _runs(change >> _U(42) != 0, len(key))
+    nw = np.diff(np.append(np.searchsorted(fu, fw), len(fu))).astype(np.uint32)
+    nv = np.diff(np.append(np.searchsorted(fw, fv), len(fw))).astype(np.uint32)
+    eu, ew, ev = (np.searchsorted(f, edge) for f in (fu, fw, fv))
+    us, ws, vs = (_escaped(code[x[f]], e) for x, f, e in ((u, fu, eu), (w, fw, ew), (v, fv, ev)))
+    eu, ew, ev = eu.tolist(), ew.tolist(), ev.tolist()
+    for k, (s, i, j) in enumerate(cuts):
+        rows.append((s, TOKENS, t, None, pack(*vs[k], nv[ev[k] : ev[k + 1]], *ws[k], nw[ew[k] : ew[k + 1]], *us[k], nu[eu[k] : eu[k + 1]], doc[i:j]), None))
     return rows
 
 
+def _by_bigram(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(v and w of each bigram, its number of trigrams, u and occurrences of each trigram, documents by occurrence) of a packed list."""
+    vs, vx, nv, ws, wx, nw, us, ux, nu, doc = unpack(blob, *_TOKEN_KINDS)
+    return np.repeat(joined(vs, vx), nv), joined(ws, wx), nw, joined(us, ux), nu, doc
+
+
 def _tokens(blob: bytes) -> tuple[np.ndarray, ...]:
     """(v, w, u, occurrences, documents) of a packed list, documents by occurrence."""
-    vs, vx, nv, ws, wx, nw, us, ux, nu, doc = unpack(blob, *_TOKEN_KINDS)
-    w, v = joined(ws, wx), np.repeat(joined(vs, vx), nv)
-    return np.repeat(v, nw), np.repeat(w, nw), joined(us, ux), nu, doc
+    v, w, n, u, nu, doc = _by_bigram(blob)
+    return np.repeat(v, n), np.repeat(w, n), u, nu, doc
 
 
 def _ship(known, parts: int, scored: bool):
@@ -234,21 +262,10 @@ def _ship(known, parts: int, scored: bool):
         shift = np.cumsum([0, *(len(s) for s in seqs[:-1])])
         seq, at = np.concatenate(seqs), np.concatenate([a + s for a, s in zip(ats, shift, strict=True)])
         doc = np.repeat(np.arange(len(n)), np.asarray(n) + 1) if scored else None
-        rows = []
+        rows = [(-1 - (t + (t >> 32)) % parts, RARE, t, ids, np.asarray(n, "<i8").tobytes(), None)] if scored else []
         for i in range(0, len(at), LIST - 2):
             part = slice(i, i + LIST - 2)
             rows += _lists(words, parts, t, seq, at[part], doc[part] if scored else None)
-        if scored:
-            rows.append((-1 - (t + (t >> 32)) % parts, RARE, t, ids, np.asarray(n, "<i8").tobytes(), None))
-            w = seq[at]
-            code = words.codes(w)
-            rare = code >= _RARE
-            code, own = code[rare], doc[rare]
-            order = np.argsort(code)
-            code, own = code[order], own[order].astype(np.uint32)
-            order, cuts = _by_shard(shard_of(code, parts), parts)
-            code, own = code[order], own[order]
-            rows += [(s, RARE, t, None, pack(np.diff(code[i:j], prepend=_U(0)), own[i:j]), None) for s, i, j in cuts]
         yield _batch(rows)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +295,22 @@ _BIGRAM, _TRIGRAM = ("<u4", "<u8", "<u4", "<u8", "<u8", "<u8"), ("<u4", "<u8", "
 
 
 def _added(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of one entry of each distinct key, its number by entry, sum of c)"""
-    _, at, inv = np.unique(key, return_index=True, return_inverse=True)
-    return at, inv, np.bincount(inv, c).astype(np.int64)
+    """(place of one entry of each distinct key, order of the entries by key, sum of c)"""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return order[first], order, np.add.reduceat(c[order].astype(np.int64), first)
+
+
+def _totals(key: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """By entry, the sum of c over the entries with its key."""
+    at, order, n = _added(key, c)
+    own = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = n[np.cumsum(np.append(False, own[1:] != own[:-1]))] if len(key) else n
+    return out
 
 
 def _tally(c: np.ndarray) -> list[int]:
@@ -298,18 +328,18 @@ def _add_up(known, least: int):
             del parts
             at, _, c3 = _added(key2(key2(u, v), w), c)
             u, v, w = u[at], v[at], w[at]
-            _, inv, n = _added(key2(u, v), c3)
+            n = _totals(key2(u, v), c3)
             seen = np.flatnonzero(c3 >= least)
             seen = seen[np.lexsort((u[seen], w[seen], v[seen]))]  # in order they pack well
-            trigrams = pack(*split(u[seen]), *split(v[seen]), *split(w[seen]), c3[seen].astype(_U), n[inv][seen].astype(_U))
+            trigrams = pack(*split(u[seen]), *split(v[seen]), *split(w[seen]), c3[seen].astype(_U), n[seen].astype(_U))
             one = known.value.spread_of(v) == 0
             v, w, c2 = v[one], w[one], c3[one]
             at, _, c2 = _added(key2(v, w), c2)
             v, w = v[at], w[at]
-            _, inv, n = _added(v, c2)
+            n = _totals(v, c2)
             seen = np.flatnonzero(c2 >= least)
             seen = seen[np.lexsort((w[seen], v[seen]))]
-            out.append((shard, TOKENS, _tally(c2), _tally(c3), pack(*split(v[seen]), *split(w[seen]), c2[seen].astype(_U), n[inv][seen].astype(_U)), trigrams))
+            out.append((shard, TOKENS, _tally(c2), _tally(c3), pack(*split(v[seen]), *split(w[seen]), c2[seen].astype(_U), n[seen].astype(_U)), trigrams))
         pairs = [unpack(blobs[i].as_py(), "<u4", "<u8", "<u4", "<u8", "<u4") for i in np.flatnonzero(kind == PAIRS).tolist()]
         if pairs:
             v, w, c = (np.concatenate(x) for x in zip(*[(joined(a, b), joined(d, e), n) for a, b, d, e, n in pairs], strict=True))
@@ -478,12 +508,13 @@ class Shard:
         self.three = _Values(key2(key2(joined(us, ux), joined(vs, vx)), joined(ws, wx)), value[i])
         self.both = _Values(key2(joined(hu, hux), joined(hv, hvx)), la[j])
 
-    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Log P3(w | u v), less log P1(w) where w isn't frequent: the trigram, else the weight of (u, v) and the bigram, else the weight of v and the word."""
-        uv = key2(u, v)
-        seen3, p3 = self.three(key2(uv, w))
+    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray | int = 1) -> np.ndarray:
+        """Log P3(w | u v), less log P1(w) where w isn't frequent: the trigram, else the weight of (u, v) and the bigram, else the weight of v and the word. n: how many of u follow each other for one (v, w)."""
         seen2, p2 = self.two(key2(v, w))
         lower = np.where(seen2, p2, self.one(v)[1] + self.words.log_p(w))
+        lower, v, w = (np.repeat(x, n) for x in (lower, v, w))
+        uv = key2(u, v)
+        seen3, p3 = self.three(key2(uv, w))
         return np.where(seen3, p3, self.both(uv)[1] + lower)
 
 
@@ -591,28 +622,51 @@ def _answer(known):
         if shard < 0:
             out = [(t, 0, ids, a, None) for t, ids, a in zip(left["t"].to_pylist(), left["ids"].to_pylist(), left["a"].to_pylist(), strict=True)]
         elif len(left):
-            kinds = left["kind"].to_numpy()
-            order = np.argsort(left["t"].to_numpy(), kind="stable")
+            kind, lists, blobs = left["kind"].to_numpy(), left["t"].to_numpy(), left["a"]
             model = [right.slice(i, 1).to_pylist()[0] for i in range(len(right))]
             plain = next((r for r in model if r["kind"] == TOKENS), {"a": None, "b": None})
             known_shard = Shard(words, plain["a"], plain["b"])
-            for i in order[kinds[order] == TOKENS].tolist():
-                v, w, u, n, doc = _tokens(left["a"][i].as_py())
-                out.append(_sums(left["t"][i].as_py(), doc, np.repeat(known_shard.log_p(u, v, w), n)))
             parts = [unpack(r["a"], "<u8", "<u8") for r in model if r["kind"] == RARE]
             counts = _Values(*(np.concatenate(x) for x in zip(*[(np.cumsum(w, dtype=_U), c.astype(float)) for w, c in parts], strict=True))) if parts else _Values(np.zeros(0, _U), np.zeros(0))
-            for i in order[kinds[order] == RARE].tolist():
-                gap, doc = unpack(left["a"][i].as_py(), "<u8", "<u4")
-                out.append(_sums(left["t"][i].as_py(), doc, np.log(np.maximum(counts(np.cumsum(gap, dtype=_U))[1], 1.0) / words.every)))
+            tokens, rare, ts, held = [], [], [], 0
+            for i in np.lexsort((kind, lists)).tolist():
+                t, blob = int(lists[i]), blobs[i].as_py()
+                if not ts or ts[-1] != t:
+                    if held >= ASKED:
+                        out += _sums(known_shard, counts, tokens, rare, ts)
+                        tokens, rare, ts, held = [], [], [], 0
+                    ts.append(t)
+                if kind[i] == TOKENS:
+                    *x, doc = _by_bigram(blob)
+                else:
+                    gap, doc = unpack(blob, "<u8", "<u4")
+                    x = [np.cumsum(gap, dtype=_U)]
+                (tokens if kind[i] == TOKENS else rare).append((*x, doc.astype(np.int64) + (len(ts) - 1 << 32)))
+                held += len(doc)
+            out += _sums(known_shard, counts, tokens, rare, ts)
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["t", "first", "ids", "a", "b"])
 
     return answer
 
 
-def _sums(t: int, doc: np.ndarray, value: np.ndarray) -> tuple:
-    docs, inv = np.unique(doc, return_inverse=True)
-    return t, 1, None, pack(docs.astype("<u4")), np.bincount(inv, value).astype("<f8").tobytes()
+def _sums(shard: Shard, counts: _Values, tokens: list, rare: list, ts: list) -> list[tuple]:
+    """One row a list: the sums by document of what its tokens and its words that aren't frequent come to. Documents carry the place of their list in ts."""
+    doc, value = [], []
+    if tokens:
+        v, w, n, u, c, own = (np.concatenate(x) for x in zip(*tokens, strict=True))
+        doc.append(own)
+        value.append(np.repeat(shard.log_p(u, v, w, n), c))
+    if rare:
+        w, own = (np.concatenate(x) for x in zip(*rare, strict=True))
+        doc.append(own)
+        value.append(np.log(np.maximum(counts(w)[1], 1.0) / shard.words.every))
+    if not doc:
+        return []
+    docs, inv = np.unique(np.concatenate(doc), return_inverse=True)
+    sums, own = np.bincount(inv, np.concatenate(value)).astype("<f8"), (docs & 0xFFFFFFFF).astype("<u4")
+    cut = np.searchsorted(docs, np.arange(len(ts) + 1) << 32).tolist()
+    return [(t, 1, None, pack(own[i:j]), sums[i:j].tobytes()) for t, i, j in zip(ts, cut[:-1], cut[1:], strict=True)]
 
 
 def _collect(rows: pa.Table) -> pa.Table:
