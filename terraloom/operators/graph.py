@@ -92,9 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def connectivity(edges: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """One row: number of components, size of the largest, whether two vertices (the first and the last by default) are together."""
-    labels = components(edges)
+def connectivity(labels: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row from the labels (v, c) of components: their number, size of the largest, whether two vertices (the first and the last by default) are together."""
     size = labels.groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
     a = F.lit(start) if start is not None else F.min("v")
     b = F.lit(end) if end is not None else F.max("v")
